@@ -12,7 +12,7 @@ from brookmill.session import SharedTable
 def cosine_join(vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, similarity) of vectors of side 0 and side 1 whose cosine is at least ``threshold``.
 
-    ``vectors``: (vec BIGINT unique, side INT, terms ARRAY<STRUCT<term STRING, w DOUBLE>>), terms in one order that is
+    ``vectors``: (vec unique within its side, side INT, terms ARRAY<STRUCT<term STRING, w DOUBLE>>), terms in one order that is
     the same for all vectors, each once and with w > 0. A vector is indexed under its leading terms only, until the
     norm of the rest is under the threshold: two vectors that share none of those have all their common terms in the
     rest of one of them, so their cosine is under the threshold. A posting carries the residual norm from its term on, the
@@ -72,28 +72,26 @@ def cross_split_pairs(
     """
     side = F.when(F.col("split") == train, 0).when(F.col("split").isin(*held), 1)
     named = manifest.select("row_no", "source", "split", side.alias("side"), F.explode(F.array_distinct(F.array(*(window_name(F.col(c)) for c in names)))).alias("name"))
-    named = named.where("name is not null and source is not null and side is not null").select("row_no", "source", "split", "side", "name.*")
+    named = named.where("name is not null and source is not null and side is not null").select(
+        "row_no", "split", "side", F.struct("source", "name.entity", F.coalesce("name.ch", F.lit(-1)).alias("ch"), "name.first", "name.last").alias("name"))
     named = SharedTable(named, "names").read()
-    what = ["side", "source", "entity", "ch", "first", "last"]
-    vectors = named.groupBy(*what).agg(F.min("row_no").alias("vec"))
+    vectors = named.select("side", "name").distinct()
     # windows that share nine tenths differ in length by a tenth: each is written at the scale of its length and, near a power of two, at the next one too
-    length = F.col("last") - F.col("first") + 1
+    first, last = F.col("name.first"), F.col("name.last")
+    length = last - first + 1
     scales = F.array_distinct(F.array(*(F.floor(F.log2(x.cast("double"))).cast("int") for x in (length, length / F.lit(least)))))
-    key = F.concat_ws("|", F.col("source"), F.col("entity"), F.coalesce(F.col("ch").cast("string"), F.lit("-")))
-    spread = vectors.select("*", F.explode(scales).alias("scale")).select(
-        F.struct("vec", "first", "last").alias("vec"), "side", interval_terms(F.col("first"), F.col("last"), key, F.col("scale")).alias("terms"))
+    key = F.concat_ws("|", F.col("name.source"), F.col("name.entity"), F.col("name.ch").cast("string"))
+    spread = vectors.select("*", F.explode(scales).alias("scale")).select(F.col("name").alias("vec"), "side", interval_terms(first, last, key, F.col("scale")).alias("terms"))
     # frame sets with Jaccard j have a cosine of at least 2j / (1 + j)
     near = cosine_join(spread, 2 * least / (1 + least)).select("a", "b").distinct()
     common = F.least("a.last", "b.last") - F.greatest("a.first", "b.first") + 1
     either = F.greatest("a.last", "b.last") - F.least("a.first", "b.first") + 1
     near = near.withColumn("covered", common / either).where((common >= 1) & (common * 1000 >= either * int(round(least * 1000))))
-    near = near.select(F.col("a.vec").alias("vec_a"), F.col("b.vec").alias("vec_b"), F.col("a.first").alias("fa"), F.col("a.last").alias("la"), F.col("b.first").alias("fb"), F.col("b.last").alias("lb"), "covered")
-    members = named.join(vectors, what[:3] + what[4:]).where(named["ch"].eqNullSafe(vectors["ch"])).select(named["row_no"], "side", "source", "split", "first", "last", "vec")
-    a = members.where("side = 0").select(F.col("vec").alias("vec_a"), F.col("first").alias("fa"), F.col("last").alias("la"), F.col("row_no").alias("train_row"), "source")
-    b = members.where("side = 1").select(F.col("vec").alias("vec_b"), F.col("first").alias("fb"), F.col("last").alias("lb"), F.col("row_no").alias("held_row"), "split")
-    pairs = near.join(a, ["vec_a", "fa", "la"]).join(b, ["vec_b", "fb", "lb"])
+    a = named.where("side = 0").select(F.col("name").alias("a"), F.col("row_no").alias("train_row"))
+    b = named.where("side = 1").select(F.col("name").alias("b"), F.col("row_no").alias("held_row"), "split")
+    pairs = near.join(a, "a").join(b, "b")
     return pairs.groupBy(F.least("train_row", "held_row").alias("row_no_a"), F.greatest("train_row", "held_row").alias("row_no_b")).agg(
-        F.first("source").alias("source"), F.first("split").alias("split"), F.max("covered").alias("covered"))
+        F.first("a.source").alias("source"), F.first("split").alias("split"), F.max("covered").alias("covered"))
 
 
 def overlap_report(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
