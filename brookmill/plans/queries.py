@@ -1,2 +1,3 @@
-def queries(): return {}
-def oracle_sql(): return {}
+from brookmill.plans import data_queries
+def queries(): return dict(data_queries.QUERIES)
+def oracle_sql(): return dict(data_queries.SQL)
