@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmill.functions.names import canonical, entity
+from brookmill.llm.leakage import find_leaks
 from brookmill.llm.overlaps import cross_split_pairs, overlap_report
+from brookmill.llm.sentences import split_sentences
 from brookmill.llm.splits import assign_splits, related_components
 from brookmill.session import table
 
@@ -47,8 +49,25 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(manifest, cross_split_pairs(manifest))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "documents").select("doc_id", "source")
+    return p7_found(spark, d).join(sources, "doc_id").groupBy("item_id").agg(F.count("*").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_sentences(spark, d).select("doc_id", "end_pos")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_sentences": p9_sentences}
 
 
 #: An id as SQL reads it, and the entity, channel and window that it names.
