@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from brookmill.functions.names import canonical, entity
 from brookmill.llm.leakage import find_leaks
+from brookmill.llm.mixing import mix_report, mix_sources
 from brookmill.llm.overlaps import cross_split_pairs, overlap_report
+from brookmill.llm.packing import pack_items, pack_report
 from brookmill.llm.sentences import split_sentences
 from brookmill.llm.splits import assign_splits, related_components
+from brookmill.operators.lengths import series_tokens, video_tokens
 from brookmill.session import table
 
 
@@ -40,6 +43,15 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "split_targets").join(per, "split", "left").na.fill(0, ["n_rows", "n_groups"]).withColumn("share", F.col("n_rows") / F.lit(max(1, total)))
 
 
+def p4_pack(spark: SparkSession, d: str) -> DataFrame:
+    lengths = table(spark, d, "manifest").select("row_no", (video_tokens(F.col("video_meta")) + series_tokens(F.col("ts_shape"))).alias("tokens"))
+    return pack_items(lengths, table(spark, d, "pack_budgets"), "row_no", "tokens").withColumnRenamed("item", "row_no")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack_report(p4_pack(spark, d), table(spark, d, "pack_budgets"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return cross_split_pairs(table(spark, d, "manifest")).select("row_no_a", "row_no_b")
 
@@ -58,6 +70,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).join(sources, "doc_id").groupBy("item_id").agg(F.count("*").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
@@ -67,7 +87,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_sentences": p9_sentences}
+    return {"p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares, "p4_pack": p4_pack, "p4_report": p4_report, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_sentences": p9_sentences}
 
 
 #: An id as SQL reads it, and the entity, channel and window that it names.
