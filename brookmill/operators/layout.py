@@ -67,7 +67,8 @@ def mask_labels(ids: Column, header: list[int], end: int, valid: Column | None =
 
 def census(ids: Column, valid: Column, kinds: dict[str, int]) -> Column:
     """STRUCT of token counts by kind, all valid ones, and text: what is neither of the kinds."""
-    n = {k: F.size(F.filter(ids, lambda x, t=t: x == t)) for k, t in kinds.items()}
+    counted = lambda t: F.size(F.filter(ids, lambda x: x == t))
+    n = {k: counted(t) for k, t in kinds.items()}
     total = F.size(F.filter(valid, lambda x: x != 0))
     rest = total
     for c in n.values():

@@ -53,7 +53,7 @@ def sampled_frames(frames: Column, source_fps: Column, c: LengthConfig) -> Colum
     most = F.floor(F.least(F.lit(float(c.max_frames)), n) / t) * t
     wanted = F.try_divide(n, source_fps.cast("double")) * c.fps
     kept = F.floor(F.least(F.least(F.greatest(wanted, F.lit(float(c.min_frames))), most), n) / t) * t
-    return F.when((n <= 0) | (source_fps <= 0) | kept.isNull(), t).otherwise(F.greatest(kept, F.lit(t))).cast("bigint")
+    return F.when(n.isNull() | source_fps.isNull() | (n <= 0) | (source_fps <= 0), t).otherwise(F.greatest(kept, F.lit(t))).cast("bigint")
 
 
 def video_tokens(meta: Column, c: LengthConfig = LengthConfig()) -> Column:

@@ -44,9 +44,7 @@ def normalize_counts(spark: SparkSession, d: str) -> DataFrame:
 def image_paths(spark: SparkSession, d: str) -> DataFrame:
     """Image fields written as one text, a list or null, made lists."""
     m = table(spark, d, _M).select("row_no", "image_path")
-    written = F.when(F.size("image_path") == 1, F.to_json(F.array(F.lit("x")))).otherwise(F.lit("x"))
     value = F.when(F.size("image_path") == 1, F.concat(F.lit('{"image_path": "'), F.col("image_path")[0], F.lit('"}'))).when(F.size("image_path") > 1, F.to_json(F.struct("image_path"))).otherwise('{"image_path": null}')
-    del written
     out = m.select("row_no", value.alias("value"))
     return typed_samples(out).select("row_no", F.concat_ws("|", "image_path").alias("paths"), F.size("image_path").alias("n"))
 
@@ -110,7 +108,7 @@ def series_stats(spark: SparkSession, d: str) -> DataFrame:
 def series_znorm(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "telemetry").where(~F.isnan("vEgo") & (F.abs("vEgo") < F.lit(float("inf")))).select("reading_id", "timeseries_path", "vEgo")
     z = t.join(N.series_stats(t, ["timeseries_path"], "vEgo"), "timeseries_path")
-    return z.select("reading_id", F.round(N.znormalize(F.col("vEgo"), F.col("mean"), F.col("sigma")), 4).alias("z"))
+    return z.select("reading_id", (F.round(N.znormalize(F.col("vEgo"), F.col("mean"), F.col("sigma")), 4) + F.lit(0.0)).alias("z"))
 
 
 def masked_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +373,7 @@ SQL = {
     "series_stats": """select timeseries_path, round(coalesce(avg(v), 0), 5) as mean, round(sqrt(coalesce(var_pop(v), 0) + 1e-6), 5) as sigma
         from (select timeseries_path, case when isfinite("vEgo") then "vEgo" end as v from telemetry) group by all""",
     "series_znorm": """with t as (select reading_id, timeseries_path, "vEgo" as v from telemetry where isfinite("vEgo")),
-        s as (select timeseries_path, avg(v) as m, sqrt(var_pop(v) + 1e-6) as sd from t group by all) select reading_id, round((v - m) / sd, 4) as z from t join s using (timeseries_path)""",
+        s as (select timeseries_path, avg(v) as m, sqrt(var_pop(v) + 1e-6) as sd from t group by all) select reading_id, round((v - m) / sd, 4) + 0.0::double as z from t join s using (timeseries_path)""",
     "masked_loss": """select vehicle_id, round(coalesce(sum((lead_a - "aEgo") * (lead_a - "aEgo")), 0) / greatest(1, count(lead_a - "aEgo")), 6) as loss from telemetry group by all""",
     "series_pad": """with x as (select event_type, user_id, count(*) as n from events group by all), y as (select event_type, max(n) as w from x group by all)
         select event_type, user_id, n::int as n_steps, 1 as n_channels, w::int as width, (w - n)::int as n_padding from x join y using (event_type)""",
@@ -400,8 +398,8 @@ SQL = {
         select source, max(c) as n, min(n) as min_len, min(n) filter (k = c // 2) as p50, min(n) filter (k = floor(c * 0.95)) as p95, max(n) as max_len, round(sum(n)::double / max(c), 6) as mean_len from r group by source""",
     "pack_batches": f"""
         with recursive {_LENGTHS},
-        at as (select task, row_no as item, coalesce(n, 0) as len, row_number() over (partition by task order by row_no) - 1 as k from lengths),
-        ranked as (select task, k // 200 as bucket, item, len, row_number() over (partition by task, k // 200 order by len, k) as r from at),
+        placed as (select task, row_no as item, coalesce(n, 0) as len, row_number() over (partition by task order by row_no) - 1 as k from lengths),
+        ranked as (select task, k // 200 as bucket, item, len, row_number() over (partition by task, k // 200 order by len, k) as r from placed),
         walk(task, bucket, r, item, len, batch, pos) as (
           select task, bucket, r, item, len, 0, 0 from ranked where r = 1
           union all
@@ -419,23 +417,23 @@ SQL = {
               case when s then [{'type': 'text', 'value': '<|ts_start|><|ts_placeholder|><|ts_end|>'}] else [] end,
               [{'type': 'text', 'value': case when coalesce(task = 'prediction', false) then prompt else regexp_replace(prompt, '<timeseries>.*?</timeseries>', '', 'gs') end}]) as content from m
           union all select row_no, ablation, 1, 'assistant', [{'type': 'text', 'value': answer}] from m where answer is not null)
-        select row_no, ablation, turn, role, (generate_subscripts(content, 1) - 1)::int as pos, e.type as type, e.value as value
-        from (select row_no, ablation, turn, role, content, unnest(content) as e, content as c2 from turns)""",
-    "placeholder_expand": "select p_partkey, (2 + 20 + 20 * (p_size % 7))::int as n_chars from part",
-    "image_cap": "select row_no, coalesce(least(len(image_path), 3), 0)::int as n_images from manifest",
+        select row_no, ablation, turn, role, pos, e.type as type, e.value as value
+        from (select row_no, ablation, turn, role, (generate_subscripts(content, 1) - 1)::int as pos, unnest(content) as e from turns)""",
+    "placeholder_expand": "select p_partkey, (2 + 18 + 18 * (p_size % 7))::int as n_chars from part",
+    "image_cap": "select row_no, case when image_path is null then 0 else least(len(image_path), 3) end::int as n_images from manifest",
     "dataset_folder": "select row_no, regexp_replace(id, '[^A-Za-z0-9._-]', '_', 'g') as folder from manifest where id is not null",
     "interleave": f"""
         with g as (select p_partkey, {_GRID} from part),
-        v as (select p_partkey, step, 0 as k, step as at, unnest(range(0, s)) as sub from (select *, unnest(range(0, t)) as step from g)),
-        q as (select p_partkey, least(t - 1, i * t // p) as step, 1 as k, i as at, unnest(range(0, c)) as sub from (select *, unnest(range(0, p)) as i from g))
-        select p_partkey, (row_number() over (partition by p_partkey order by step, k, at, sub) - 1)::int as pos, case k when 0 then 'V' else 'T' end as kind, at::int as at, sub::int as sub
+        v as (select p_partkey, step, 0 as k, step as a, unnest(range(0, s)) as sub from (select *, unnest(range(0, t)) as step from g)),
+        q as (select p_partkey, least(t - 1, i * t // p) as step, 1 as k, i as a, unnest(range(0, c)) as sub from (select *, unnest(range(0, p)) as i from g))
+        select p_partkey, (row_number() over (partition by p_partkey order by step, k, a, sub) - 1)::int as pos, case k when 0 then 'V' else 'T' end as kind, a::int as at, sub::int as sub
         from (select * from v union all select * from q)""",
     "merge_by_time": "select event_id, coalesce(sum(event_id % 3 + 1) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as token_pos from events",
     "weave_tokens": f"""
         with g as (select p_partkey, {_GRID} from part),
-        v as (select p_partkey, step, 0 as k, step as at, unnest(range(0, s)) as sub from (select *, unnest(range(0, t)) as step from g)),
-        q as (select p_partkey, least(t - 1, i * t // p) as step, 1 as k, i as at, unnest(range(0, c)) as sub from (select *, unnest(range(0, p)) as i from g)),
-        mid as (select p_partkey, string_agg(case k when 0 then '1' else '2' end, ' ' order by step, k, at, sub) as x from (select * from v union all select * from q) group by all)
+        v as (select p_partkey, step, 0 as k, step as a, unnest(range(0, s)) as sub from (select *, unnest(range(0, t)) as step from g)),
+        q as (select p_partkey, least(t - 1, i * t // p) as step, 1 as k, i as a, unnest(range(0, c)) as sub from (select *, unnest(range(0, p)) as i from g)),
+        mid as (select p_partkey, string_agg(case k when 0 then '1' else '2' end, ' ' order by step, k, a, sub) as x from (select * from v union all select * from q) group by all)
         select p_partkey, '50 900 3 ' || x || ' 4 901 50 5 6 8 ' || repeat('50 ', p_partkey % 4) || '7 50' as ids from mid""",
     "label_mask": f"with g as (select p_partkey, {_GRID} from part) select p_partkey, p_partkey % 4 + 1 as n_trained, (5 + t * s + p * c + 4)::int as first, (5 + t * s + p * c + 4 + p_partkey % 4)::int as last from g",
     "token_census": f"with g as (select p_partkey, {_GRID} from part) select p_partkey, (t * s)::int as video, (p * c)::int as series, (11 + t * s + p * c + p_partkey % 4)::int as valid, (11 + p_partkey % 4)::int as text from g",
