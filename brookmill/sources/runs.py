@@ -11,7 +11,7 @@ DEFAULTS = {"classification": ("accuracy", "macro_f1", "weighted_f1", "success_r
 
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     """(ablation, dataset, task, metrics VARIANT) of every ``root/<ablation>/<dataset>/metrics.json``; a bad file has null metrics."""
-    text = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/*/*/metrics.json")
+    text = spark.read.text(f"{root.rstrip(chr(47))}/*/*/metrics.json", wholetext=True)
     path = F.split(F.col("_metadata.file_path"), "/")
     v = F.try_parse_json("value")
     task = F.coalesce(F.try_variant_get(v, "$.task", "string"), F.lit("classification"))
