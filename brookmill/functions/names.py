@@ -30,13 +30,19 @@ def entity(text: Column) -> Column:
     return F.nullif(F.regexp_extract(canonical(text), PATTERN, 1), F.lit(""))
 
 
-def window_name(text: Column) -> Column:
-    """STRUCT<entity STRING, ch INT, first BIGINT, last BIGINT>, or null where the text is null, names nothing, or ends before it begins.
+def window_names(texts: Column) -> Column:
+    """What each of an array of texts names: ARRAY<STRUCT<entity STRING, ch INT, first BIGINT, last BIGINT>>.
 
-    Separators, zero padding, ``f`` before frame numbers, folders, source prefixes, extensions and copy marks don't matter.
+    An element is null where the text is null, names nothing, or ends before it begins. Separators, zero padding, ``f``
+    before frame numbers, folders, source prefixes, extensions and copy marks don't matter. One pattern is run per text.
     """
-    s = canonical(text)
-    part = lambda k: F.regexp_extract(s, PATTERN, k)
-    first, last = part(2).try_cast("bigint"), part(3).try_cast("bigint")
-    ok = (part(1) != "") & (first <= last)
-    return F.when(ok, F.struct(part(1).alias("entity"), part(4).try_cast("int").alias("ch"), first.alias("first"), last.alias("last")))
+    mark = "\x01"
+    found = F.transform(F.transform(texts, canonical), lambda s: F.regexp_replace(s, PATTERN + "(?s:.*)$", mark + "$1|$2|$3|$4"))
+    parts = F.transform(found, lambda s: F.when(F.startswith(s, F.lit(mark)), F.split(F.substr(s, F.lit(2)), r"\|", -1)))
+    named = F.transform(parts, lambda x: F.struct(x[0].alias("entity"), x[3].try_cast("int").alias("ch"), x[1].try_cast("bigint").alias("first"), x[2].try_cast("bigint").alias("last")))
+    return F.transform(named, lambda n: F.when(n["first"] <= n["last"], n))
+
+
+def window_name(text: Column) -> Column:
+    """What one text names; see window_names."""
+    return window_names(F.array(text))[0]

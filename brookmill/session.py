@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[SharedTable] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,17 +45,26 @@ class SharedTable:
         self.path = f"{shared_dir(self.spark)}/brookmill-{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.parquet(self.path)
+        _MADE.append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Removes the files. Only call this when no lazy result still reads them."""
+        if self in _MADE:
+            _MADE.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Removes all shared tables made so far; results that are lazily read from them must be done with."""
+    while _MADE:
+        _MADE.pop().drop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

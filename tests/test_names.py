@@ -21,3 +21,15 @@ def test_names(spark):
         assert (tuple(r["n"]) if r["n"] else None) == want, r["s"]
         if want:
             assert r["e"] == want[0]
+
+
+def test_shared_tables_are_released(spark):
+    import os
+
+    import brookmill.session as session
+
+    t = session.SharedTable(spark.range(3), "x")
+    path = t.path.removeprefix("file://")
+    assert t.read().count() == 3 and os.path.isdir(path)
+    session.release()
+    assert not os.path.exists(path) and not session._MADE
