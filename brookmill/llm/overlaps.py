@@ -5,57 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.functions.names import window_name
+from brookmill.functions.names import window_names
 from brookmill.session import SharedTable
 
 
 def cosine_join(vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, similarity) of vectors of side 0 and side 1 whose cosine is at least ``threshold``.
 
-    ``vectors``: (vec unique within its side, side INT, terms ARRAY<STRUCT<term STRING, w DOUBLE>>), terms in one order that is
+    ``vectors``: (vec unique within its side, side INT, terms ARRAY<STRUCT<term, w DOUBLE>>), terms in one order that is
     the same for all vectors, each once and with w > 0. A vector is indexed under its leading terms only, until the
     norm of the rest is under the threshold: two vectors that share none of those have all their common terms in the
     rest of one of them, so their cosine is under the threshold. A posting carries the residual norm from its term on, the
     vector's largest weight and its weights' sum; a pair is kept if these bounds allow the threshold, and then the dot
     product over all terms decides. Nothing is capped. Vectors without terms match nothing.
     """
-    unit = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
-    v = vectors.where(F.size("terms") > 0).withColumn("_norm", unit).select(
-        "vec", "side", F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["w"] / F.col("_norm")).alias("w"))).alias("terms"))
-    # sq[i]: squared norm of the terms before i
-    v = v.withColumn("_sq", F.aggregate(
-        "terms", F.array(F.lit(0.0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + t["w"] * t["w"]))))
-    least = 1.0 - threshold * threshold
-    v = v.withColumn("_keep", F.size(F.filter("_sq", lambda q: q <= least + 1e-9)))
-    v = v.withColumn("_max", F.array_max(F.transform("terms", lambda t: t["w"]))).withColumn("_sum", F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"]))
-    posting = v.select(
-        "vec", "side", "terms", "_max", "_sum",
-        F.posexplode(F.slice("terms", 1, F.least(F.col("_keep"), F.size("terms")))).alias("_pos", "_t"), "_sq",
-    ).select("vec", "side", "terms", "_max", "_sum", F.col("_t.term").alias("term"), F.col("_t.w").alias("w"),
-             F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("_sq")[F.col("_pos")])).alias("rest"))
-    a = posting.where("side = 0").select("term", *(F.col(c).alias(f"{c}_a") for c in ("vec", "terms", "w", "rest", "_max", "_sum")))
-    b = posting.where("side = 1").select("term", *(F.col(c).alias(f"{c}_b") for c in ("vec", "terms", "w", "rest", "_max", "_sum")))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator is computed once, however often its column is used
+    v = vectors.where(F.size("terms") > 0).select("vec", "side", once("terms").alias("terms"))
+    total = F.aggregate("terms", F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("most"), F.lit(0.0).alias("sum")), lambda s, t: F.struct(
+        (s["sq"] + t["w"] * t["w"]).alias("sq"), F.greatest(s["most"], t["w"]).alias("most"), (s["sum"] + t["w"]).alias("sum")))
+    v = v.select("*", once(total).alias("_m")).select("vec", "side", "terms", "_m.sq", (F.col("_m.most") / F.sqrt("_m.sq")).alias("_max"), (F.col("_m.sum") / F.sqrt("_m.sq")).alias("_sum"))
+    kind = v.schema["terms"].dataType.elementType["term"].dataType.simpleString()
+    least = F.col("sq") * (1.0 - threshold * threshold + 1e-9)
+    none = F.expr(f"cast(array() as array<struct<term:{kind},w:double,before:double>>)")
+
+    def lead(s: Column, t: Column) -> Column:
+        """Takes terms until the squared norm before one exceeds what the rest may lack."""
+        more = F.struct(s["sq"] + t["w"] * t["w"], F.concat(s["kept"], F.array(F.struct(t["term"].alias("term"), t["w"].alias("w"), s["sq"].alias("before")))))
+        return F.when(s["sq"] > least, s).otherwise(F.struct(more["col1"].alias("sq"), more["col2"].alias("kept")))
+
+    kept = F.aggregate("terms", F.struct(F.lit(0.0).alias("sq"), none.alias("kept")), lead, lambda s: s["kept"])
+    posting = v.select("vec", "side", "terms", "sq", "_max", "_sum", F.explode(kept).alias("_t")).select(
+        "vec", "side", "terms", "sq", "_max", "_sum", "_t.term", F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("_t.before") / F.col("sq"))).alias("rest"))
+    a = posting.where("side = 0").select("term", *(F.col(c).alias(f"{c}_a") for c in ("vec", "terms", "sq", "rest", "_max", "_sum")))
+    b = posting.where("side = 1").select("term", *(F.col(c).alias(f"{c}_b") for c in ("vec", "terms", "sq", "rest", "_max", "_sum")))
     low = threshold - 1e-9
     near = a.join(b, "term").where(
         (F.least(F.col("_sum_a") * F.col("_max_b"), F.col("_sum_b") * F.col("_max_a")) >= low)
         # holds at the first common term of every pair that reaches the threshold: nothing before it adds to the product
         & (F.col("rest_a") * F.col("rest_b") >= low)
     )
-    dot = F.aggregate("terms_a", F.lit(0.0), lambda s, t: s + t["w"] * F.coalesce(F.try_element_at(F.map_from_entries("terms_b"), t["term"]), F.lit(0.0)))
-    return near.select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b"), dot.alias("similarity")).where(F.col("similarity") >= low).distinct()
+    near = near.select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b"), "terms_a", "sq_a", "sq_b", once(F.map_from_entries("terms_b")).alias("_of_b"))
+    dot = F.aggregate("terms_a", F.lit(0.0), lambda s, t: s + t["w"] * F.coalesce(F.try_element_at("_of_b", t["term"]), F.lit(0.0)))
+    scored = near.select("a", "b", once(dot / F.sqrt(F.col("sq_a") * F.col("sq_b"))).alias("similarity"))
+    return scored.where(F.col("similarity") >= low).distinct()
 
 
-def interval_terms(first: Column, last: Column, key: Column, scale: Column) -> Column:
+def interval_terms(first: Column, last: Column, key: list[Column], scale: Column) -> Column:
     """Terms of a window of frames: blocks of a sixteenth of 2**scale frames, weighted by the root of their frames.
 
     The cosine of two such vectors is at least that of the windows' frame sets, by Cauchy and Schwarz within blocks, so
-    a threshold that holds for frame sets loses nothing; there are at most 34 terms however long the window is.
+    a threshold that holds for frame sets loses nothing; there are at most 34 terms however long the window is. Terms are hashes; should two meet, that adds a
+    candidate and drops none, as the exact rule follows.
     """
     block = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), scale) / 16).cast("bigint")
     return F.transform(
         F.sequence(F.floor(first / block), F.floor(last / block)),
         lambda k: F.struct(
-            F.concat_ws("|", key, scale.cast("string"), k.cast("string")).alias("term"),
+            F.xxhash64(*key, scale, k).alias("term"),
             F.sqrt((F.least(last, (k + 1) * block - 1) - F.greatest(first, k * block) + 1).cast("double")).alias("w")),
     )
 
@@ -71,7 +77,8 @@ def cross_split_pairs(
     Rows without a name, source or split, and rows of other splits, match nothing. Extra columns are ignored.
     """
     side = F.when(F.col("split") == train, 0).when(F.col("split").isin(*held), 1)
-    named = manifest.select("row_no", "source", "split", side.alias("side"), F.explode(F.array_distinct(F.array(*(window_name(F.col(c)) for c in names)))).alias("name"))
+    held_names = F.explode(F.array_distinct(window_names(F.array(*(F.col(c) for c in names)))))
+    named = manifest.select("row_no", "source", "split", side.alias("side"), held_names.alias("name"))
     named = named.where("name is not null and source is not null and side is not null").select(
         "row_no", "split", "side", F.struct("source", "name.entity", F.coalesce("name.ch", F.lit(-1)).alias("ch"), "name.first", "name.last").alias("name"))
     named = SharedTable(named, "names").read()
@@ -80,7 +87,7 @@ def cross_split_pairs(
     first, last = F.col("name.first"), F.col("name.last")
     length = last - first + 1
     scales = F.array_distinct(F.array(*(F.floor(F.log2(x.cast("double"))).cast("int") for x in (length, length / F.lit(least)))))
-    key = F.concat_ws("|", F.col("name.source"), F.col("name.entity"), F.col("name.ch").cast("string"))
+    key = [F.col("name.source"), F.col("name.entity"), F.col("name.ch")]
     spread = vectors.select("*", F.explode(scales).alias("scale")).select(F.col("name").alias("vec"), "side", interval_terms(first, last, key, F.col("scale")).alias("terms"))
     # frame sets with Jaccard j have a cosine of at least 2j / (1 + j)
     near = cosine_join(spread, 2 * least / (1 + least)).select("a", "b").distinct()
