@@ -28,6 +28,8 @@ NEVER = frozenset(
 UNITS = frozenset("min sec ft см стр h".split())
 #: Words whose period may also end a sentence: it does if what follows looks like a start.
 EITHER = frozenset("a.m p.m etc usw inc ltd co corp jr u.s u.k т.д т.п т.к др usf ff".split())
+#: Those of them that mostly end one: they do where a text has no capitals to tell by.
+LAST = frozenset("etc usw т.д т.п др usf".split())
 #: Words before a day or a count in German, after which a number's period makes it an ordinal.
 ORDINAL = frozenset("am im der den dem des vom zum zur beim die das ab bis seit jeden jedem ein einen einem nach vor".split())
 
@@ -70,9 +72,11 @@ _PAIRED = re.compile(r"[“”„«»「」『』（）()\[\]【】《》‹›\
 _TRAILS = frozenset("\"'”’“»)]」』）】》›*_")
 
 
-def _upper_text(text: str) -> bool:
-    """A text in capitals tells nothing by them."""
-    return text.upper() == text and text.lower() != text
+def _one_case(text: str) -> str:
+    """``upper`` or ``lower`` for a text in one case, whose letters tell no starts; else nothing."""
+    if text.lower() == text.upper():
+        return ""
+    return "upper" if text.upper() == text else "lower" if text.lower() == text else ""
 
 
 def _pairs(text: str, low: int, high: int) -> list[tuple[int, int]]:
@@ -109,7 +113,7 @@ def _pairs(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return outer
 
 
-def _looks_like_start(text: str, at: int, capitals: bool) -> bool:
+def _looks_like_start(text: str, at: int, case: str) -> bool:
     """Whether what follows ``at`` is a capital, an opening mark before one, or a word that sentences start with."""
     if _EG.match(text, at):
         return True
@@ -117,16 +121,16 @@ def _looks_like_start(text: str, at: int, capitals: bool) -> bool:
     if not m:
         return False
     c = m[0][-1]
-    return (c.isupper() and not capitals) or c.lower() == c.upper() or m[0].lstrip()[:1] in "\"“„«¿¡(["
+    return (c.isupper() and case != "upper") or c.lower() == c.upper() or m[0].lstrip()[:1] in "\"“„«¿¡(["
 
 
-def _period_ends(text: str, at: int, line_numbers: set[int], capitals: bool) -> bool:
+def _period_ends(text: str, at: int, line_numbers: set[int], case: str) -> bool:
     """Whether the single period at ``at`` ends a sentence."""
     after = text[at + 1 : at + 2]
     if at in line_numbers:
         return False
     m = _WORD_BEFORE.search(text, max(0, at - 40), at)
-    word = m[0].lower() if m else ""
+    word = m[0].lower().replace("\xad", "") if m else ""
     if "." in word and not _DOTTED.match(word):
         word = word.rpartition(".")[2]  # a space may be missing before it
     if after and not after.isspace() and after not in _TRAILS:
@@ -137,7 +141,7 @@ def _period_ends(text: str, at: int, line_numbers: set[int], capitals: bool) ->
         if not (after.isalpha() or after in "\"“„«¿¡(["):
             return False
         before = text[at - 1]
-        if not (before.islower() or before.isdigit()) or capitals:
+        if not (before.islower() or before.isdigit()) or case == "upper":
             return False
         following = text[at + 2 : at + 3]
         if after.isupper() and following and not (following.islower() or following in " .'’"):
@@ -151,7 +155,7 @@ def _period_ends(text: str, at: int, line_numbers: set[int], capitals: bool) ->
     if word in NEVER:
         return word in UNITS and bool(before) and before[-1][-1].isdigit()
     if word in EITHER:
-        return _looks_like_start(text, at + 1, capitals)
+        return _looks_like_start(text, at + 1, case) or bool(case) and word in LAST
     if _DOTTED.match(word):
         return False
     if len(word) == 1 and word.isalpha():
@@ -162,8 +166,9 @@ def _period_ends(text: str, at: int, line_numbers: set[int], capitals: bool) ->
         if previous and previous[-1].isdigit():
             return True  # a unit
         if len(previous) == 2 and previous[0].isalpha() and previous[1] == ".":
-            if previous[0].lower() + "." + word in EITHER:
-                return _looks_like_start(text, at + 1, capitals)
+            pair = previous[0].lower() + "." + word
+            if pair in EITHER:
+                return _looks_like_start(text, at + 1, case) or bool(case) and pair in LAST
             return False  # the second part of an abbreviation in two
         nxt = text[at + 1 : at + 5].lstrip()
         if len(nxt) > 1 and nxt[0].isalpha() and nxt[1:2] == ".":
@@ -186,7 +191,6 @@ def symbols(text: str) -> np.ndarray:
     out = np.zeros(len(code) + 1, dtype=np.uint8)
     body = out[:-1]
     body[(code <= 32) | (code == 0xA0) | (code == 0x3000) | ((code >= 0x2000) & (code <= 0x200D)) | (code == 0x2028) | (code == 0x2029) | (code == 0x202F) | (code == 0xFEFF) | (code == 0x85)] = SPACE
-    capitals = _upper_text(text)
     breaks = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(text)]
     spans, low = [], 0
     for a, b in breaks:
@@ -202,6 +206,7 @@ def symbols(text: str) -> np.ndarray:
     for low, high in spans:
         if low >= high:
             continue
+        case = _one_case(text[low:high])
         # list entries begin sentences; a number counts if it begins or continues a list
         last, starts, line_numbers = 0, [], set()
         head = _NUMBERED.match(text, low, high)
@@ -228,7 +233,7 @@ def symbols(text: str) -> np.ndarray:
                 if s[-1] in "!?" and nxt.isascii() and (nxt.islower() or nxt.isdigit() or nxt in "=&/") and nxt:
                     continue
                 marks.append((a, b))
-            elif s == "." and _period_ends(text, a, line_numbers, capitals):
+            elif s == "." and _period_ends(text, a, line_numbers, case):
                 marks.append((a, b))
         if not marks:
             part = text[low:high]
@@ -258,7 +263,7 @@ def symbols(text: str) -> np.ndarray:
             k = b + 1
             while k < high and text[k].isspace():
                 k += 1
-            if k < high and k > b + 1 and body[k] == OTHER and ((text[k].isupper() and not capitals) or _EG.match(text, k)):
+            if k < high and k > b + 1 and body[k] == OTHER and ((text[k].isupper() and case != "upper") or _EG.match(text, k)):
                 body[k] = UPPER
     out[-1] = BREAK
     return out
