@@ -27,7 +27,7 @@ LOADED = (
 _FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^"{d}\r\n]*)'
 _QUOTED = {d: re.compile(f"{_FIELD.format(d=d)}(?:{d}{_FIELD.format(d=d)})*(?:\r\n|\n)?") for d in DELIMITERS.values()}
 _TAG = re.compile(r"</?timeseries>")
-_DATA = re.compile(r"^[0-9.]+:\s*(.+)$", re.M)
+_DATA = re.compile(r"^[0-9.]+:[^\S\n]*(\S.*)$", re.M)
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 _COUNT = re.compile(r"[0-9]*[1-9][0-9]*")

@@ -75,6 +75,7 @@ def test_bad_prompts(text):
 
 
 def test_two_good_blocks_and_text_outside():
+    assert not bad_prompt("<timeseries>\n1.0:\nunit=km\n</timeseries>")
     assert not bad_prompt("1: a=zz\n<timeseries>\n1: a=1e-3\n</timeseries> and <timeseries>\nt: a=\n2: b=-.5\n</timeseries>")
 
 
