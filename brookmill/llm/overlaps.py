@@ -51,13 +51,13 @@ def cosine_join(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def interval_terms(first: Column, last: Column, key: list[Column], scale: Column) -> Column:
-    """Terms of a window of frames: blocks of a sixteenth of 2**scale frames, weighted by the root of their frames.
+    """Terms of a window of frames: blocks of an eighth of 2**scale frames, weighted by the root of their frames.
 
     The cosine of two such vectors is at least that of the windows' frame sets, by Cauchy and Schwarz within blocks, so
-    a threshold that holds for frame sets loses nothing; there are at most 34 terms however long the window is. Terms are hashes; should two meet, that adds a
+    a threshold that holds for frame sets loses nothing; there are at most 18 terms however long the window is. Terms are hashes; should two meet, that adds a
     candidate and drops none, as the exact rule follows.
     """
-    block = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), scale) / 16).cast("bigint")
+    block = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), scale) / 8).cast("bigint")
     return F.transform(
         F.sequence(F.floor(first / block), F.floor(last / block)),
         lambda k: F.struct(
