@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brookmill.functions.forecast import parse_forecast
 from brookmill.functions.tsblock import linspace_picks, parse_block, strip_block, thin_block
+from brookmill.operators import annotate as A
 from brookmill.operators import conversation as V
 from brookmill.operators import layout as L
 from brookmill.operators import normalize as N
@@ -304,11 +305,38 @@ def score_stub(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "ground_truth", "raw", "failed")
 
 
+def annotate_state(spark: SparkSession, d: str) -> DataFrame:
+    c = [F.col(x) for x in ("video_path", "video_meta", "image_path", "image_meta", "ts_shape")]
+    x = table(spark, d, _M).select("row_no", A.todo(F.col("video_meta"), F.col("timeseries_path"), F.col("ts_shape")).alias("t"), A.usable_meta(*c).alias("u"))
+    return x.select("row_no", F.col("t.video").alias("todo_video"), F.col("t.series").alias("todo_series"), F.col("u.video").alias("has_video"), F.col("u.images").alias("has_images"), F.col("u.series").alias("has_series"))
+
+
+def annotate_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return A.coverage(table(spark, d, _M), ["source"])
+
+
+def batch_rejects(spark: SparkSession, d: str) -> DataFrame:
+    why = A.why_not(F.col("task"), F.col("timeseries_path"), F.col("forecast_target_path"))
+    return table(spark, d, _M).select("source", why.alias("why")).where("why is not null").groupBy("source", "why").agg(F.count("*").alias("n"))
+
+
+def request_plan(spark: SparkSession, d: str) -> DataFrame:
+    v, k = F.col("video_meta"), F.coalesce(F.size("image_path"), F.lit(0))
+    m = table(spark, d, _M).where("video_meta.width > 0 and video_meta.height > 0 and video_meta.nb_frames is not null").select("row_no", A.request_frames(v, k).alias("n_frames"), A.capped_size(v["width"], v["height"], 128 * 784).alias("s"))
+    return m.select("row_no", "n_frames", "s.width", "s.height")
+
+
+def request_parts(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, _M).select("row_no", F.posexplode(A.request_parts(A.square_tags(F.col("prompt")), F.col("image_path"), F.lit(2))).alias("pos", "p"))
+    return x.select("row_no", "pos", "p.type", "p.value")
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_rows, normalize_counts, image_paths, multi_source_union, short_clip_filter, source_counts, resume_anti, resume_retry, strip_prompt, block_values, thin_prompt, picks,
     explode_channels, series_stats, series_znorm, masked_loss, series_pad, single_target, text_shape, meta_derived, clip_seconds, frame_plan, sampled, vis_tokens, img_tokens, ts_tokens, seq_length,
     len_summary, pack_batches, pack_steps, rank_shards, conversation_build, placeholder_expand, image_cap, dataset_folder, interleave, merge_by_time, weave_tokens, label_mask, token_census,
-    rope_positions, target_pad, group_ids, time_first, series_window, score_stub)}
+    rope_positions, target_pad, group_ids, time_first, series_window, score_stub,
+    annotate_state, annotate_coverage, batch_rejects, request_plan, request_parts)}
 
 _LINE = """rtrim(split_part(props, '}', 1)) || case event_id % 4 when 0 then ', "video_id": "v' || event_id || '"' when 1 then ', "id": "i' || event_id || '", "task": null'
     when 2 then ', "id": "old", "video_id": "v' || event_id || '", "task": "prediction"' else '' end || '}'"""
@@ -444,4 +472,20 @@ SQL = {
         select p_partkey, (i * c + j)::int as pos, (j * (p + 2) + i)::int as place from q""",
     "series_window": f"with g as (select p_partkey, {_GRID} from part) select p_partkey, (t * s + 5)::int as first, (t * s + 7)::int as last from g",
     "score_stub": "select id, answer as ground_truth, 'the answer is ' || answer as raw, false as failed from manifest where task = 'classification'",
+    "annotate_state": """select row_no, video_meta is null as todo_video, coalesce(timeseries_path, '') <> '' and ts_shape is null as todo_series,
+        coalesce(video_path <> '' and video_meta.width is not null and video_meta.height is not null and video_meta.source_fps is not null and video_meta.nb_frames is not null, false) as has_video,
+        coalesce(len(image_path) > 0 and len(image_meta) = len(image_path), false) as has_images, coalesce(len(ts_shape) = 2, false) as has_series from manifest""",
+    "annotate_coverage": "select source, count(*) as n, count(video_meta) as n_video_meta, count(ts_shape) as n_ts_shape from manifest group by all",
+    "batch_rejects": """select source, case when task is distinct from 'prediction' then 'task' when timeseries_path is null then 'series' when forecast_target_path is null then 'target' end as why, count(*) as n
+        from manifest where task is distinct from 'prediction' or timeseries_path is null or forecast_target_path is null group by all""",
+    "request_plan": """
+        with m as (select row_no, video_meta.width as w, video_meta.height as h, video_meta.nb_frames as n, video_meta.source_fps as f, video_meta.duration as s, coalesce(len(image_path), 0) as k
+          from manifest where video_meta.width > 0 and video_meta.height > 0 and video_meta.nb_frames is not null),
+        t as (select *, case when s > 0 then s when f <> 0 then coalesce(n / f, 0) else 0 end as sec, sqrt(128 * 784 / (w::double * h)) as z from m)
+        select row_no, greatest(4, least(80, greatest(1, 50 - k), greatest(1, round_even(sec, 0)::int)))::int as n_frames,
+          (case when w * h > 128 * 784 then greatest(1, floor(w * z)) else w end)::int as width, (case when w * h > 128 * 784 then greatest(1, floor(h * z)) else h end)::int as height from t""",
+    "request_parts": """
+        with m as (select row_no, list_concat([{'type': 'text', 'value': replace(replace(prompt, '<video>', '[video]'), '</video>', '[/video]')}, {'type': 'frame', 'value': '0'}, {'type': 'frame', 'value': '1'}],
+          case when image_path is null then [] else list_transform(image_path[1:48], lambda x: {'type': 'image', 'value': x}) end) as l from manifest)
+        select row_no, pos, e.type as type, e.value as value from (select row_no, (generate_subscripts(l, 1) - 1)::int as pos, unnest(l) as e from m)""",
 }
