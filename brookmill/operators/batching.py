@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookmill.operators.ordinals import ordinals, uniform
+from brookmill.session import SharedTable
 
 
 def greedy_batches(sorted_items: Column, max_tokens: int, max_bs: int) -> Column:
@@ -46,12 +47,14 @@ def plan_steps(batches: DataFrame, world: int, seed: int = 42, epoch: int = 0) -
     """Adds ``step`` and ``rank``: at every step all ranks have batches of one task, and all ranks as many.
 
     Batches of a task are shuffled and grouped by ``world``; a task's last incomplete group is dropped (fewer than
-    ``world`` batches a task); groups are shuffled over tasks.
+    ``world`` batches a task); groups are shuffled over tasks. The batches are written once, as they are read again and again.
     """
     world = max(1, world)
+    batches = SharedTable(batches, "batches").read()
     heads = batches.where("pos = 0").select("task", "bucket", "batch")
     placed = ordinals(heads, "_at", ["task"], uniform(F.lit(seed + epoch), F.lit("batch"), "task", "bucket", "batch"), ["bucket", "batch"])
     whole = placed.withColumn("_block", F.floor(F.col("_at") / world)).withColumn("_n", F.count("*").over(W.partitionBy("task", "_block"))).where(F.col("_n") == world)
+    whole = SharedTable(whole.drop("_n"), "steps").read()
     blocks = ordinals(whole.select("task", "_block").distinct(), "step", [], uniform(F.lit(seed + epoch), F.lit("block"), "task", "_block"), ["task", "_block"])
     steps = whole.join(blocks.withColumnsRenamed({"task": "_t", "_block": "_b"}), F.col("task").eqNullSafe(F.col("_t")) & (F.col("_block") == F.col("_b")))
     steps = steps.select(F.col("task").alias("_t"), F.col("bucket").alias("_u"), F.col("batch").alias("_c"), "step", (F.col("_at") % world).cast("int").alias("rank"))
