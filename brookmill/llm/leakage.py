@@ -29,17 +29,20 @@ MOST_ITEM_BYTES = 256 << 20
 class Units:
     """What a passage is counted in: words, or characters where words aren't spaced.
 
-    A passage of ``passage`` units with one unit replaced has ``passage // 2`` whole ones on one side, and thus, with
-    windows of ``window`` units taken every ``stride`` ones, a whole window: window + stride - 1 <= passage // 2.
+    Windows of ``window`` units are taken every ``stride`` ones, and their middle unit may differ. Runs of agreeing units
+    in a passage are of two or more, but for the first. So where a unit is replaced after such a run, two units on each
+    side agree, and where none is for five units, all do: a passage with any number of single units replaced has at
+    least ``fewest`` agreeing windows of five units on its diagonal.
     """
 
     passage: int
     window: int
     stride: int
     shared: int
+    fewest: int
 
 
-WORDS, CHARACTERS = Units(25, 8, 5, 14), Units(40, 12, 9, 20)
+WORDS, CHARACTERS = Units(25, 5, 1, 14, 4), Units(40, 5, 1, 20, 7)
 
 
 def normalise(text: str) -> str:
@@ -75,22 +78,29 @@ class Hashes(dict[str, int]):
         return np.fromiter(map(self.__getitem__, units), dtype=np.uint64, count=len(units))
 
 
-def pairs_of(h: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring units, in order."""
-    return (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + (h[:-1] >> np.uint64(29)))
+def pairs_of(h: np.ndarray, apart: int = 1) -> np.ndarray:
+    """Hashes of units ``apart`` from each other, in order."""
+    a, b = h[:-apart], h[apart:]
+    return (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(29)))
+
+
+def shingles_at(window: int) -> np.ndarray:
+    """Places in a window of the neighbouring pairs that don't touch its middle unit."""
+    return np.array([k for k in range(window - 1) if k not in (window // 2 - 1, window // 2)])
 
 
 def simhash(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Fingerprints of the windows of ``window`` units at ``starts``, from their units and neighbouring pairs."""
+    """Fingerprints of the windows of ``window`` units at ``starts``, from their units and pairs without the middle unit."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros((len(starts), 64), dtype=np.int16)
-    both = pairs_of(h) if len(h) > 1 else h[:0]
-    for k in range(window):
-        total += np.unpackbits(h[starts + k].view(np.uint8).reshape(-1, 8), axis=1)
-        if k + 1 < window:
-            total += np.unpackbits(both[starts + k].view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(total * 2 > 2 * window - 1, axis=1).view(np.uint64).ravel()
+    middle = window // 2
+    both = pairs_of(h)
+    parts = [h[starts + k] for k in range(window) if k != middle] + [both[starts + k] for k in shingles_at(window)]
+    parts.append(pairs_of(h, 2)[starts + middle - 1])
+    for x in parts:
+        total += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(total * 2 > len(parts), axis=1).view(np.uint64).ravel()
 
 
 @dataclass
@@ -133,6 +143,12 @@ class Index:
         # weight of a two-unit shingle: the rarer among items, the more it says
         keys = np.array(sorted(weights), dtype=np.uint64)
         self.keys, self.weight = keys, np.array([1.0 + np.log(len(self.items) / weights[int(x)]) for x in keys])
+        self.known = np.zeros(1 << 20, dtype=bool)
+        self.known[keys >> np.uint64(44)] = True
+        # all items in a row, and where in it each window starts
+        flat = np.concatenate(self.hashes) if self.hashes else np.zeros(0, dtype=np.uint64)
+        size = np.array([len(h) for h in self.hashes], dtype=int)
+        self.pairs, self.place = pairs_of(flat), (np.cumsum(size) - size)[self.item] + self.start
         self.blocks = []
         for b in range(BLOCKS):
             part = (self.prints >> np.uint64(16 * b)).astype(np.uint16)
@@ -140,6 +156,14 @@ class Index:
             self.blocks.append((order, np.searchsorted(part[order], np.arange(65537))))
         return self
 
+    def able(self, h: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose every shingle some item may have (by 20 bits of its hash); others equal none."""
+        if len(h) < self.units.window:
+            return np.zeros(0, dtype=int)
+        some = self.known[pairs_of(h) >> np.uint64(44)]
+        n = len(h) - self.units.window + 1
+        return np.flatnonzero(np.logical_and.reduce([some[k : k + n] for k in shingles_at(self.units.window)]))
+
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``prints``, item window) of all pairs within RADIUS bits; pairs may repeat."""
         at, of = [], []
@@ -166,9 +190,9 @@ class Index:
         """Which (document window, item window) pairs have a weighted shingle similarity of at least ``least``."""
         if not len(starts):
             return np.zeros(0, dtype=bool)
-        span = np.arange(self.units.window - 1)
+        span = shingles_at(self.units.window)
         ours = pairs_of(h)[starts[:, None] + span]
-        theirs = np.stack([pairs_of(self.hashes[k][s : s + self.units.window]) for k, s in zip(self.item[windows], self.start[windows])])
+        theirs = self.pairs[self.place[windows][:, None] + span]
         equal = (ours[:, :, None] == theirs[:, None, :]).any(axis=2)
         back = (theirs[:, :, None] == ours[:, None, :]).any(axis=2)
         a, b = self.weigh(ours), self.weigh(theirs)
@@ -218,15 +242,25 @@ def leaked(texts: list[str | None], indexes: list[Index], hashes: Hashes, least:
         n = np.array(lengths)
         first = np.cumsum(n) - n
         h = hashes.of(units)
-        # a window every stride units and one at the end, as far as a text is long enough for a passage
-        counts = np.where(n >= u.passage, (n - u.window) // u.stride + 1, 0)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        starts = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * u.stride
+        # a window every stride units, as far as a text is long enough for a passage and an item may have its shingles
+        doc_of = np.repeat(np.arange(len(texts)), n)
+        starts = index.able(h)
+        doc = doc_of[starts]
+        at_doc = starts - first[doc]
+        inside = (n[doc] >= u.passage) & (at_doc + u.window <= n[doc]) & (at_doc % u.stride == 0)
+        starts, doc = starts[inside], doc[inside]
         at, window = index.near(simhash(h, starts, u.window))
         ok = index.similar(h, starts[at], window, least)
-        at, window = at[ok], window[ok]
-        shift = starts[at] - first[doc[at]] - index.start[window]
-        for d, k, s in sorted(set(zip(doc[at].tolist(), index.item[window].tolist(), shift.tolist()))):
+        at, window = np.divmod(np.unique(at[ok] * len(index.prints) + window[ok]), len(index.prints))
+        if not len(at):
+            continue
+        # diagonals with at least as many windows as a passage has
+        longest = max(map(len, index.hashes))
+        span = int(n.max()) + longest + 1
+        shift = starts[at] - first[doc[at]] - index.start[window] + longest
+        diagonals, count = np.unique((doc[at] * len(index.items) + index.item[window]) * span + shift, return_counts=True)
+        pair, shift = np.divmod(diagonals[count >= u.fewest], span)
+        for d, k, s in zip(*(x.tolist() for x in (*np.divmod(pair, len(index.items)), shift - longest))):
             if index.items[k] not in found[d] and index.passage(h[first[d] : first[d] + n[d]], k, s):
                 found[d].add(index.items[k])
     return [sorted(f) for f in found]
@@ -237,9 +271,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
 
     Case, punctuation, mark-up, spacing, invisible characters, width and single replaced units don't break a passage.
     Wording of 14 words (20 characters) or more that a second item has too belongs to none. Every window of every
-    document is searched, at a stride for which one whole window lies in every passage (Units), by fingerprint; all
-    item windows within RADIUS bits are found for sure, pass by exact weighted shingle similarity of 0.8, and the
-    passage rule is applied to whole texts along the diagonal. Null and short texts hold nothing; a null id comes out
+    document is searched by a fingerprint that leaves its middle unit out; all item windows within RADIUS bits are found
+    for sure, pass by exact weighted shingle similarity of 0.8, and where a diagonal has as many of them as the least
+    that a passage holds, however many single units are replaced in it (Units), the passage rule is applied to whole
+    texts along it. Null and short texts hold nothing; a null id comes out
     as null. The items are held on the driver and broadcast: more than MOST_ITEM_BYTES of text raises. The corpus is
     neither shuffled nor collected, so no group can be hot.
     """

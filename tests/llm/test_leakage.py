@@ -95,3 +95,56 @@ def test_random_passages_against_brute_force():
             words[r.randint(2, n - 3)] = "zzz"
         text = prose(r.random(), r.randint(0, 17)) + " " + " ".join(words) + " " + prose(r.random(), r.randint(0, 17))
         assert leaked([text], index, Hashes()) == [[k] if n >= 25 else []]
+
+
+def fewest_windows(length):
+    """Fewest windows 11?11 in a passage of this length as passage() accepts it."""
+    fewest = {("1", True): 0}
+    for _ in range(length - 1):
+        longer = {}
+        for (tail, first), n in fewest.items():
+            for c in "01":
+                if c == "1" or tail.endswith("11") or first:
+                    t = tail + c
+                    hit = len(t) == 5 and t[:2] + t[3:] == "1111"
+                    key = (t[-4:], first and c == "1")
+                    longer[key] = min(longer.get(key, 99), n + hit)
+        fewest = longer
+    return min(n for (tail, first), n in fewest.items() if first or tail.endswith("11"))
+
+
+def test_every_passage_holds_the_fewest_windows():
+    for u in (WORDS, CHARACTERS):
+        assert u.window == 5 and u.stride == 1
+        assert min(fewest_windows(n) for n in range(u.passage, 3 * u.passage)) == u.fewest
+
+
+@pytest.mark.parametrize(("lang", "size"), [("en", 25), ("zh", 40)])
+def test_any_number_of_replaced_units_against_brute_force(lang, size):
+    spaced, fresh = (" ", prose) if lang == "en" else ("", cjk)
+    split = str.split if lang == "en" else list
+    item = split(fresh(200, 120))
+    index = build_indexes([(1, spaced.join(item), lang)])
+    mine = index[lang == "zh"]
+    r = random.Random(8)
+    found = 0
+    for case in range(300):
+        low, n = r.randint(0, 120 - size - 3), size + r.randint(0, 3)
+        units, other = item[low : low + n], split(fresh(r.random(), 400))
+        places = range(1, n - 2, 3) if case % 10 == 0 else r.sample(range(2, n - 2), r.randint(2, 5))
+        for p in places:
+            units[p] = other[p]
+        text = spaced.join(split(fresh(r.random(), r.randint(0, 17))) + units + split(fresh(r.random(), r.randint(0, 17))))
+        h = Hashes().of(M.words(text) if lang == "en" else M.characters(text))
+        want = any(mine.passage(h, 0, s) for s in range(-120, len(h)))
+        assert leaked([text], index, Hashes()) == [[1] if want else []], (case, low, n, places)
+        found += want
+    assert 100 < found < 300
+
+
+def test_replaced_words_off_the_grid_are_found(spark):
+    words = cut(1, 21, 25).split()
+    words[8], words[16] = "one", "other"
+    docs = spark.createDataFrame([(k, " ".join([*prose(70, k).split(), *words, *prose(71, 9).split()]), None, None) for k in range(10)], DOCS)
+    items = spark.createDataFrame([(1, TEXTS[1], "en", 0)], ITEMS)
+    assert sorted(r["doc_id"] for r in find_leaks(docs, items).collect()) == list(range(10))
