@@ -10,8 +10,10 @@ from brookmill.session import SharedTable
 
 #: Series are cut into pieces of CHUNK seconds, each read with HALO seconds of its neighbours, so that no series is one task.
 CHUNK, HALO = 6 * 3600, 1800
-#: Readings that a spike may last at most.
+#: Spikes of up to so many readings are measured reading by reading, longer ones between the steps at their ends.
 WIDEST = 3
+#: Seconds that a spike may last at most, however many readings it has: beyond that it is a level of its own.
+LONGEST = HALO
 #: A context's sketch holds if it saw this many readings; else the source's does, else that of all sources.
 LEAST_CONTEXT, LEAST_SOURCE = 400, 60
 HOUR_BANDS = 4
@@ -35,6 +37,8 @@ def shapes(points: DataFrame, series: str) -> DataFrame:
     neighbours on both sides fit the line), ``out_k`` (how far the k readings lie outside both neighbours' values),
     and ``run``, the number of readings in a row that have this value. Measures are null where the k readings stay
     within their neighbours' values, but for dev_1; ``at_k`` is the time of the k-th next reading where a wider measure needs it.
+    ``rate`` is the change per second since the reading before, ``step`` that change itself where the steps next to it
+    go less far in its direction, ``calm`` how far those go and ``from`` the time of the reading before.
     """
     key = [series, "piece"]
     w = W.partitionBy(*key).orderBy("at")
@@ -64,25 +68,29 @@ def shapes(points: DataFrame, series: str) -> DataFrame:
         leaves = out > 0
         kept = {f"dev_{k}": dev if k == 1 else F.when(leaves, dev), f"near_{k}": F.when(leaves, misfit), f"out_{k}": F.when(leaves, out)}
         p = p.withColumns({c: x.cast("float") for c, x in kept.items()})
+    step = F.col("v") - F.col("v_b1")
+    calm = F.greatest(F.lit(0.0), *(F.coalesce(F.signum(step) * x, F.lit(0.0)) for x in (F.col("v_b1") - F.col("v_b2"), F.col("v_a1") - F.col("v"))))
+    p = p.withColumns({"rate": F.abs(F.try_divide(step, F.col("t") - F.col("t_b1"))).cast("float"), "step": F.when(F.abs(step) > calm, step), "calm": F.when(F.abs(step) > calm, calm).cast("float"), "from": F.when(F.abs(step) > calm, F.lag("at", 1).over(w))})
     later = [F.lead("at", k).over(w).alias(f"at_{k}") for k in range(1, WIDEST)]
     measures = [f"{c}_{k}" for k in range(1, WIDEST + 1) for c in ("dev", "near", "out")]
-    p = p.select(series, "piece", "own", "source", "at", "v", "run", *measures, *later).where("own").drop("own", "piece")
+    p = p.select(series, "piece", "own", "source", "at", "v", "run", "rate", "step", "calm", "from", *measures, *later).where("own").drop("own", "piece")
     return p.withColumns({f"at_{k}": F.when(F.coalesce(*(F.col(f"out_{j}") for j in range(k + 1, WIDEST + 1))).isNotNull(), F.col(f"at_{k}")) for k in range(1, WIDEST)})
 
 
 def usual(shaped: DataFrame) -> DataFrame:
-    """(source, band, fence, usual_run): per source and band of hours the upper fence of deviations and of run lengths.
+    """(source, band, fence, rate_fence, usual_run): per source and band of hours the upper fence of deviations, of change per second and of run lengths.
 
     Quantile sketches (KLL) are built on every partition and merged: per source and band, per source from those of its
     bands, and for all from those of the sources. The fence is q75 plus once the interquartile range of single
-    readings' deviations; callers expand it. Where a band saw too little the source's sketch holds, and so on.
+    readings' deviations, or of their rates; callers expand it. Where a band saw too little the source's sketch holds, and so on.
     """
     band = F.floor(F.hour(F.col("at").cast("timestamp")) * HOUR_BANDS / 24).cast("int")
     runs = F.when((F.col("v") > 0), F.col("run").cast("double"))
     fine = shaped.groupBy("source", band.alias("band")).agg(
         F.count_if(F.col("dev_1") > 0).alias("n"), F.kll_sketch_agg_double(F.when(F.col("dev_1") > 0, F.col("dev_1")), SKETCH).alias("dev"),
+        F.count_if(F.col("rate") > 0).alias("n_rates"), F.kll_sketch_agg_double(F.when(F.col("rate") > 0, F.col("rate")), SKETCH).alias("rates"),
         F.count(runs).alias("n_runs"), F.kll_sketch_agg_double(runs, SKETCH).alias("runs"))
-    coarse = fine.groupBy("source").agg(F.sum("n").alias("n_s"), F.kll_merge_agg_double("dev", SKETCH).alias("dev_s"), F.sum("n_runs").alias("n_runs_s"), F.kll_merge_agg_double("runs", SKETCH).alias("runs_s"))
+    coarse = fine.groupBy("source").agg(F.sum("n").alias("n_s"), F.kll_merge_agg_double("dev", SKETCH).alias("dev_s"), F.sum("n_rates").alias("n_rates_s"), F.kll_merge_agg_double("rates", SKETCH).alias("rates_s"), F.sum("n_runs").alias("n_runs_s"), F.kll_merge_agg_double("runs", SKETCH).alias("runs_s"))
 
     def fence(sketch: str) -> Column:
         q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
@@ -93,16 +101,45 @@ def usual(shaped: DataFrame) -> DataFrame:
         return F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
 
     # one row of four numbers for all sources; the sketches themselves are merged where they are
-    total = coarse.agg(F.sum("n_s").alias("n"), F.kll_merge_agg_double("dev_s", SKETCH).alias("dev"), F.sum("n_runs_s").alias("n_runs"), F.kll_merge_agg_double("runs_s", SKETCH).alias("runs"))
-    every = total.select(F.when(F.col("n") > 0, fence("dev")).alias("fence"), F.when(F.col("n_runs") > 0, long("runs")).alias("run")).first()
+    total = coarse.agg(F.sum("n_s").alias("n"), F.kll_merge_agg_double("dev_s", SKETCH).alias("dev"), F.sum("n_rates_s").alias("n_rates"), F.kll_merge_agg_double("rates_s", SKETCH).alias("rates"), F.sum("n_runs_s").alias("n_runs"), F.kll_merge_agg_double("runs_s", SKETCH).alias("runs"))
+    every = total.select(F.when(F.col("n") > 0, fence("dev")).alias("fence"), F.when(F.col("n_rates") > 0, fence("rates")).alias("rate"), F.when(F.col("n_runs") > 0, long("runs")).alias("run")).first()
     of_all = {k: F.lit(v).cast("double") for k, v in every.asDict().items()}
     return fine.join(coarse, "source").select(
         "source", "band",
         F.when(F.col("n") >= LEAST_CONTEXT, fence("dev")).when(F.col("n_s") >= LEAST_SOURCE, fence("dev_s")).otherwise(of_all["fence"]).alias("fence"),
+        F.when(F.col("n_rates") >= LEAST_CONTEXT, fence("rates")).when(F.col("n_rates_s") >= LEAST_SOURCE, fence("rates_s")).otherwise(of_all["rate"]).alias("rate_fence"),
         F.when(F.col("n_runs_s") >= LEAST_SOURCE, long("runs_s")).otherwise(of_all["run"]).alias("usual_run"),
     )
 
 
+def wide_spikes(edges: DataFrame, points: DataFrame, expand: float) -> DataFrame:
+    """(series, at): the readings of spikes of more than WIDEST readings, found between the steps at their ends.
+
+    ``edges``: series, at, v, step, fence; ``points``: series, at, v. A spike starts at a step and ends before the first
+    step back within LONGEST seconds; all its readings lie outside the values before and after it by over ``expand``
+    fences. What lies between two spikes is none, though it starts and ends with such steps too.
+    """
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / LONGEST)
+    side = F.signum("step")
+    first = edges.select("series", F.col("at").alias("a"), F.col("v").alias("v_a"), side.alias("side"), (F.col("v") - F.col("step")).alias("before"), "fence")
+    first = first.withColumn("bucket", F.explode(F.array(bucket("a"), bucket("a") + 1)))
+    last = edges.select("series", F.col("at").alias("b"), F.col("v").alias("after"), side.alias("back"), bucket("at").alias("bucket"))
+    seconds = F.unix_seconds(F.col("b").cast("timestamp")) - F.unix_seconds(F.col("a").cast("timestamp"))
+    least = expand * F.col("fence")
+    pairs = first.join(last, ["series", "bucket"]).where((F.col("back") == -F.col("side")) & (F.col("b") > F.col("a")) & (seconds <= LONGEST) & (F.col("side") * (F.col("v_a") - F.col("after")) > least))
+    pairs = pairs.groupBy("series", "a").agg(F.min_by(F.struct("b", "after", "side", "before", "fence"), "b").alias("x")).select("series", "a", "x.*")
+    # of pairs that follow on each other every second one is a way back
+    w = W.partitionBy("series").orderBy("a")
+    pairs = pairs.withColumn("_new", F.when(F.lag("b").over(w) == F.col("a"), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    pairs = pairs.withColumn("_no", F.row_number().over(W.partitionBy("series", "_chain").orderBy("a"))).where("_no % 2 = 1")
+    pairs = pairs.withColumn("bucket", F.explode(F.sequence(bucket("a"), bucket("b"))))
+    held = points.withColumn("bucket", bucket("at")).join(pairs, ["series", "bucket"]).where((F.col("at") >= F.col("a")) & (F.col("at") < F.col("b")))
+    of = W.partitionBy("series", "a")
+    out = F.col("side") * F.col("v") - F.greatest(F.col("side") * F.col("before"), F.col("side") * F.col("after"))
+    held = held.withColumn("_n", F.count("*").over(of)).withColumn("_out", F.min(out).over(of))
+    return held.where((F.col("_n") > WIDEST) & (F.col("_out") > least)).select("series", "at")
+
+
 def flag_spikes(
     readings: DataFrame, source: str = "vehicle_id", series: str = "timeseries_path", at: str = "timestamp", value: str = "vEgo", ident: str = "reading_id",
     low: float = 0.0, high: float = 90.0, expand: float = 4.5, contrast: float = 2.2, outside: float = 0.2, stuck_factor: float = 4.0, stuck_least: int = 9,
@@ -112,7 +149,9 @@ def flag_spikes(
     impossible: under ``low``, over ``high`` or infinite. The others are judged in time order within a series, resent
     copies once, without null, NaN and impossible values. spike: up to WIDEST readings that leave the line between
     their neighbours by over ``expand`` fences of the source (see usual) and ``contrast`` times what fence and next
-    neighbours explain, outside both neighbours' values. stuck: a run of one value over 0 of at least ``stuck_least``
+    neighbours explain, outside both neighbours' values; or any number of them within LONGEST seconds between a step
+    and the step back (see wide_spikes), each over ``expand`` fences of the source in value and in change per second
+    and over ``contrast`` times what fence and the steps next to it explain. stuck: a run of one value over 0 of at least ``stuck_least``
     readings and over ``stuck_factor`` times the source's usual run. All copies of a flagged reading are flagged.
     Copies that differ in value are judged by their largest. Null series or times: only the impossible ones come out.
     """
@@ -124,7 +163,7 @@ def flag_spikes(
     band = F.floor(F.hour(F.col("at").cast("timestamp")) * HOUR_BANDS / 24).cast("int")
     some = F.coalesce(*(F.col(f"out_{k}") for k in range(1, WIDEST + 1))).isNotNull()
     # only readings that could be cases go on: everything else was summed up in the sketches
-    able = shaped.where(some | (F.col("run") >= stuck_least)).withColumn("band", band)
+    able = shaped.where(some | (F.col("run") >= stuck_least) | (F.abs("step") > contrast * F.col("calm"))).withColumn("band", band)
     judged = able.join(usual(shaped), ["source", "band"])
     spike = lambda k: (F.col(f"out_{k}") >= outside * F.col(f"dev_{k}")) & (F.col(f"dev_{k}") > expand * F.col("fence")) & (
         F.col(f"dev_{k}") > contrast * (F.col("fence") + F.col(f"near_{k}")))
@@ -133,10 +172,16 @@ def flag_spikes(
     length = F.when(spike(WIDEST), WIDEST)
     for k in range(WIDEST - 1, 0, -1):
         length = length.when(spike(k), k)
-    judged = judged.withColumn("_len", length).withColumn("_stuck", stuck).where(F.col("_len").isNotNull() | F.col("_stuck"))
+    edge = (F.abs("step") > expand * F.col("fence")) & (F.abs("step") > contrast * (F.col("fence") + F.col("calm"))) & (F.col("rate") > expand * F.col("rate_fence"))
+    judged = judged.withColumn("_len", length).withColumn("_stuck", stuck).withColumn("_edge", F.coalesce(edge, F.lit(False)))
+    judged = SharedTable(judged.where(F.col("_len").isNotNull() | F.col("_stuck") | F.col("_edge")).select("series", "at", "v", "step", "from", "fence", "_len", "_stuck", "_edge", *(f"at_{k}" for k in range(1, WIDEST))), "judged").read()
     times = F.array("at", *(f"at_{k}" for k in range(1, WIDEST)))
     spiked = judged.where("_len is not null").select("series", F.explode(F.slice(times, 1, F.col("_len"))).alias("at"), F.lit(1).alias("k"))
     held = judged.where("_stuck").select("series", "at", F.lit(2).alias("k"))
-    cases = spiked.unionByName(held).groupBy("series", "at").agg(F.min("k").alias("k"))
+    narrow = spiked.unionByName(held)
+    # a step from or to a reading that is wrong by itself says nothing about the readings on its other side
+    edges = judged.where("_edge").join(narrow, ["series", "at"], "left_anti").join(narrow.select("series", F.col("at").alias("from")), ["series", "from"], "left_anti")
+    wide = wide_spikes(edges, shaped.select("series", "at", "v"), expand)
+    cases = narrow.unionByName(wide.withColumn("k", F.lit(1))).groupBy("series", "at").agg(F.min("k").alias("k"))
     out = r.where(possible).join(cases, ["series", "at"]).select("_id", "k").unionByName(r.where(~possible).select("_id", F.lit(0).alias("k")))
     return out.select(F.col("_id").alias(ident), F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("k") + 1).alias("kind"))

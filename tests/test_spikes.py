@@ -69,3 +69,25 @@ def test_pieces_change_nothing(spark, monkeypatch):
 
 def test_empty(spark):
     assert flag_spikes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_spikes_of_any_length(spark, monkeypatch):
+    import brookmill.operators.spikes as m
+
+    for chunk, halo in ((m.CHUNK, m.HALO), (600, 60)):
+        monkeypatch.setattr(m, "CHUNK", chunk)
+        monkeypatch.setattr(m, "HALO", halo)
+        s = {f"s{k}": noisy(120, 100 + k) for k in range(6)} | {"up": noisy(900, 110), "near": noisy(200, 111), "shift": noisy(80, 112) + noisy(80, 113, 28.0)}
+        want = set()
+        for low, n, by in ((20, 4, 6), (60, 5, -7), (100, 8, 6), (150, 40, -8), (560, 120, 9)):
+            for k in range(low, low + n):
+                s["up"][k] += by
+                want.add(("up", k))
+        for low in (50, 60):  # the calm readings between two spikes are right
+            for k in range(low, low + 5):
+                s["near"][k] += 6
+                want.add(("near", k))
+        s["brake"] = noisy(30, 114) + [20 - 1.5 * k for k in range(8)] + noisy(12, 115, 8.0) + [8 + 1.5 * k for k in range(8)] + noisy(30, 116)
+        df, rows = table(spark, s)
+        named = {r[0]: (r[2], int((r[3] - T0).total_seconds())) for r in rows}
+        assert {named[r["reading_id"]] for r in flag_spikes(df).where("kind = 'spike'").collect()} == want
