@@ -102,6 +102,14 @@ def _labels(cols: dict[str, list], is_json: list[bool]) -> list[str | None]:
     return bad
 
 
+def _bigint(v: str | int | None) -> int | None:
+    """The number of a count that passed as one, or None beyond a BIGINT; leading zeros don't count."""
+    if isinstance(v, str):
+        v = v.lstrip("0")
+        v = int(v) if len(v) < 20 else None
+    return v if v is not None and v < 1 << 63 else None
+
+
 def read_delimited(payloads: list[str], delimiter: str) -> tuple[dict[int, list[str]], dict[int, str]]:
     """Fields of each well-quoted record by its place, and the structural rejects by theirs.
 
@@ -178,7 +186,7 @@ def load_records(raw: DataFrame) -> DataFrame:
             for k, f in enumerate(FIELDS):
                 col = [row[k] if row is not None else None for row in (fields[i] if reason[i] is None else None for i in range(n))]
                 if f in ("n_steps", "n_channels"):
-                    col = [int(v) if v is not None and len(str(v)) < 19 else None for v in col]
+                    col = [_bigint(v) for v in col]
                 else:
                     col = [(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) if v is not None and not (f == "timeseries_path" and v == "") else None for v in col]
                 out[f] = col

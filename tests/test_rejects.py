@@ -81,3 +81,11 @@ def test_two_good_blocks_and_text_outside():
 
 def test_json_parts():
     assert parse_json("{}") == (None, "columns") and parse_json("7") == (None, "quoting")
+
+
+def test_counts_up_to_a_bigint_are_kept(spark):
+    top = 2**63 - 1
+    counts = [("csv", "0" * 17 + "12", 12), ("tsv", "0" * 5000 + "7", 7), ("csv", str(10**18), 10**18), ("csv", str(top), top), ("csv", str(top + 1), None), ("csv", "1" * 5000, None), ("jsonl", top, top), ("jsonl", top + 1, None)]
+    rows = [(k, "f", f, as_json(n_steps=v) if f == "jsonl" else line(with_(5, v), "," if f == "csv" else "\t")) for k, (f, v, _) in enumerate(counts)]
+    got = {r["raw_id"]: r for r in load_records(spark.createDataFrame(rows, "raw_id bigint, file_name string, fmt string, payload string")).collect()}
+    assert [(got[k]["reason"], got[k]["n_steps"], got[k]["n_channels"]) for k in range(len(counts))] == [(None, want, 2) for *_, want in counts]
