@@ -19,7 +19,7 @@ LEAST_CONTEXT, LEAST_SOURCE = 400, 60
 HOUR_BANDS = 4
 #: Size of the quantile sketches: a rank is off by about 0.2 %.
 SKETCH = 2000
-KINDS = ("impossible", "spike", "stuck")
+KINDS = ("impossible", "spike", "stuck", "jump")
 
 
 def _pieces(points: DataFrame, series: str) -> DataFrame:
@@ -152,7 +152,8 @@ def flag_spikes(
     neighbours explain, outside both neighbours' values; or any number of them within LONGEST seconds between a step
     and the step back (see wide_spikes), each over ``expand`` fences of the source in value and in change per second
     and over ``contrast`` times what fence and the steps next to it explain. stuck: a run of one value over 0 of at least ``stuck_least``
-    readings and over ``stuck_factor`` times the source's usual run. All copies of a flagged reading are flagged.
+    readings and over ``stuck_factor`` times the source's usual run. jump: the reading after a step, judged like those at
+    the ends of a spike, that isn't taken back. All copies of a flagged reading are flagged.
     Copies that differ in value are judged by their largest. Null series or times: only the impossible ones come out.
     """
     r = readings.select(F.col(ident).alias("_id"), F.col(series).alias("series"), F.col(source).alias("source"), F.col(at).alias("at"), F.col(value).cast("double").alias("v"))
@@ -181,7 +182,10 @@ def flag_spikes(
     narrow = spiked.unionByName(held)
     # a step from or to a reading that is wrong by itself says nothing about the readings on its other side
     edges = judged.where("_edge").join(narrow, ["series", "at"], "left_anti").join(narrow.select("series", F.col("at").alias("from")), ["series", "from"], "left_anti")
-    wide = wide_spikes(edges, shaped.select("series", "at", "v"), expand)
-    cases = narrow.unionByName(wide.withColumn("k", F.lit(1))).groupBy("series", "at").agg(F.min("k").alias("k"))
+    edges = SharedTable(edges.select("series", "at", "from", "v", "step", "fence"), "edges").read()
+    wide = SharedTable(wide_spikes(edges, shaped.select("series", "at", "v"), expand), "wide").read()
+    # a step neither into nor out of a spike
+    jumps = edges.join(wide, ["series", "at"], "left_anti").join(wide.select("series", F.col("at").alias("from")), ["series", "from"], "left_anti")
+    cases = narrow.unionByName(wide.withColumn("k", F.lit(1))).unionByName(jumps.select("series", "at", F.lit(3).alias("k"))).groupBy("series", "at").agg(F.min("k").alias("k"))
     out = r.where(possible).join(cases, ["series", "at"]).select("_id", "k").unionByName(r.where(~possible).select("_id", F.lit(0).alias("k")))
     return out.select(F.col("_id").alias(ident), F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("k") + 1).alias("kind"))

@@ -91,3 +91,16 @@ def test_spikes_of_any_length(spark, monkeypatch):
         df, rows = table(spark, s)
         named = {r[0]: (r[2], int((r[3] - T0).total_seconds())) for r in rows}
         assert {named[r["reading_id"]] for r in flag_spikes(df).where("kind = 'spike'").collect()} == want
+
+
+def test_a_step_that_is_not_taken_back_is_a_jump(spark):
+    s = {f"s{k}": noisy(120, 200 + k) for k in range(6)} | {"up": noisy(80, 210) + noisy(80, 211, 28.0), "down": noisy(60, 212) + noisy(80, 213, 11.0), "spike": noisy(120, 214)}
+    for k in range(40, 46):
+        s["spike"][k] += 6
+    # as much change, but over a gap in time or as real braking
+    s["brake"] = noisy(30, 215) + [20 - 1.5 * k for k in range(8)] + noisy(30, 216, 8.0)
+    s["gap"] = noisy(30, 217) + [None] * 60 + noisy(30, 218, 26.0)
+    df, rows = table(spark, s)
+    named = {r[0]: (r[2], int((r[3] - T0).total_seconds())) for r in rows}
+    got = {named[r["reading_id"]]: r["kind"] for r in flag_spikes(df).collect()}
+    assert got == {("up", 80): "jump", ("down", 60): "jump"} | {("spike", k): "spike" for k in range(40, 46)}
