@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookmill.functions.forecast import parse_forecast
@@ -118,13 +119,37 @@ def masked_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series_pad(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of each clip of a vehicle as channels, padded to the vehicle's longest clip."""
+    """A counter of the events of each user and type as one channel, padded to the type's longest."""
     t = table(spark, d, "events").withColumn("day", F.date_format("ts", "dd").cast("int"))
     long = t.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).select("user_id", "event_type", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("step"), F.lit(0).alias("channel_index"))
     out = pad_series(long.withColumn("value", F.col("step").cast("double")), ["user_id"], ["event_type"])
     return out.select("event_type", "user_id", "n_steps", "n_channels", F.size("values").alias("width"), F.size(F.filter("values", lambda v: F.isnan(v))).alias("n_padding"))
 
 
+def _clip_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Long form of the clips' series: every measured channel, numbered as in the table; resent readings once."""
+    t = table(spark, d, "telemetry")
+    names = [n for n, kind in t.dtypes if kind == "double"]
+    once = t.groupBy("vehicle_id", "timeseries_path", "timestamp").agg(F.min_by(F.struct(*names), "reading_id").alias("x"))
+    step = F.row_number().over(W.partitionBy("vehicle_id", "timeseries_path").orderBy("timestamp")) - 1
+    long = once.withColumn("step", step).select("vehicle_id", "timeseries_path", "step", F.posexplode(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(f"x.{n}").alias("value")) for n in names))).alias("channel_index", "y"))
+    return long.select("vehicle_id", "timeseries_path", "step", "channel_index", "y.channel", "y.value")
+
+
+def series_pad_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of each clip of a vehicle by channel, padded to the vehicle's longest clip."""
+    out = pad_series(_clip_channels(spark, d), ["timeseries_path"], ["vehicle_id"])
+    known = lambda v: F.size(F.filter(v, lambda x: ~F.isnan(x)))
+    padding = F.slice("values", F.col("n_steps") + 1, F.size("values"))
+    return out.select("vehicle_id", "timeseries_path", "channel_index", "n_steps", "n_channels", F.size("values").alias("width"), known("values").alias("n_known"), (F.size(padding) - known(padding)).alias("n_padding"))
+
+
+def single_target_clips(spark: SparkSession, d: str) -> DataFrame:
+    """The road speed of each clip as a target; the channel numbers are those of the series."""
+    out = single_channel(_clip_channels(spark, d).where("channel = 'vEgo'"), ["timeseries_path"])
+    return out.groupBy("timeseries_path").agg(F.count("*").alias("n"), F.count(F.nanvl("value", F.lit(None))).alias("n_known"), F.max(F.nanvl("value", F.lit(None))).alias("top"))
+
+
 def single_target(spark: SparkSession, d: str) -> DataFrame:
     long = table(spark, d, "events").select("user_id", F.lit(0).alias("channel_index"), "value")
     return single_channel(long, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -333,7 +358,7 @@ def request_parts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     normalize_rows, normalize_counts, image_paths, multi_source_union, short_clip_filter, source_counts, resume_anti, resume_retry, strip_prompt, block_values, thin_prompt, picks,
-    explode_channels, series_stats, series_znorm, masked_loss, series_pad, single_target, text_shape, meta_derived, clip_seconds, frame_plan, sampled, vis_tokens, img_tokens, ts_tokens, seq_length,
+    explode_channels, series_stats, series_znorm, masked_loss, series_pad, series_pad_clips, single_target, single_target_clips, text_shape, meta_derived, clip_seconds, frame_plan, sampled, vis_tokens, img_tokens, ts_tokens, seq_length,
     len_summary, pack_batches, pack_steps, rank_shards, conversation_build, placeholder_expand, image_cap, dataset_folder, interleave, merge_by_time, weave_tokens, label_mask, token_census,
     rope_positions, target_pad, group_ids, time_first, series_window, score_stub,
     annotate_state, annotate_coverage, batch_rejects, request_plan, request_parts)}
@@ -405,6 +430,15 @@ SQL = {
     "masked_loss": """select vehicle_id, round(coalesce(sum((lead_a - "aEgo") * (lead_a - "aEgo")), 0) / greatest(1, count(lead_a - "aEgo")), 6) as loss from telemetry group by all""",
     "series_pad": """with x as (select event_type, user_id, count(*) as n from events group by all), y as (select event_type, max(n) as w from x group by all)
         select event_type, user_id, n::int as n_steps, 1 as n_channels, w::int as width, (w - n)::int as n_padding from x join y using (event_type)""",
+    "series_pad_clips": """with o as (select vehicle_id, timeseries_path, timestamp, min(reading_id) as reading_id from telemetry group by all),
+        r as (select t.* from telemetry t join o using (reading_id)),
+        long as (select vehicle_id, timeseries_path, timestamp, unnest(range(0, 5))::int as channel_index, unnest(["vEgo", "aEgo", "steeringAngleDeg", lead_speed_kmh, lead_a]) as value from r),
+        x as (select vehicle_id, timeseries_path, channel_index, count(*) as n, count(*) filter (value is not null and not isnan(value)) as n_known from long group by all),
+        y as (select vehicle_id, max(n) as w from x group by all)
+        select vehicle_id, timeseries_path, channel_index, n::int as n_steps, 5 as n_channels, w::int as width, n_known::int as n_known, (w - n)::int as n_padding from x join y using (vehicle_id)""",
+    "single_target_clips": """with o as (select vehicle_id, timeseries_path, timestamp, min(reading_id) as reading_id from telemetry group by all),
+        r as (select t.timeseries_path, case when not isnan(t."vEgo") then t."vEgo" end as v from telemetry t join o using (reading_id))
+        select timeseries_path, count(*) as n, count(v) as n_known, max(v) as top from r group by all""",
     "single_target": "select user_id, count(*) as n, round(sum(value), 4) as total from events group by all",
     "text_shape": r"""with b as (select doc_id, regexp_replace(text, '\r?\n\z', '') as x from documents)
         select doc_id, case when length(x) > 0 then (len(regexp_split_to_array(x, '\r?\n')) - 1)::int end as steps,

@@ -112,3 +112,18 @@ def test_streamed_scoring_writes_each_row_once(spark, tmp_path):
         q.awaitTermination(60)
         (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"id": "c" + name, "answer": "C"}) + "\n")
     assert sorted(r["id"] for r in spark.read.json(out).collect()) == ["a", "b", "c2"]
+
+
+def test_padding_and_targets_take_the_channels_of_telemetry(spark, tmp_path):
+    import datetime as dt
+
+    from brookmill.plans.prepare_queries import _clip_channels, series_pad_clips, single_target_clips
+
+    at = [dt.datetime(2020, 1, 1, 0, 0, k) for k in range(3)]
+    rows = [(1, "v", "a", at[0], 1.0, None), (2, "v", "a", at[1], float("nan"), 5.0), (3, "v", "a", at[0], 1.0, None), (4, "v", "b", at[2], 2.0, 6.0), (5, "v", "a", at[2], 3.0, 7.0)]
+    spark.createDataFrame(rows, "reading_id bigint, vehicle_id string, timeseries_path string, timestamp timestamp, vEgo double, aEgo double").write.parquet(f"{tmp_path}/telemetry.parquet")
+    d = str(tmp_path)
+    assert {tuple(r)[1:] for r in series_pad_clips(spark, d).collect()} == {("a", 0, 3, 2, 3, 2, 0), ("a", 1, 3, 2, 3, 2, 0), ("b", 0, 1, 2, 3, 1, 2), ("b", 1, 1, 2, 3, 1, 2)}
+    assert {tuple(r) for r in single_target_clips(spark, d).collect()} == {("a", 3, 2, 3.0), ("b", 1, 1, 2.0)}
+    with pytest.raises(Exception, match="one channel"):
+        single_channel(_clip_channels(spark, d), ["timeseries_path"]).collect()
