@@ -5,24 +5,36 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brookmill.session import SharedTable
 
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿︀-️]")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _DIGIT_MARK = re.compile(r"(?<=\d)[.,:  ](?=\d)")
 _SPACELESS = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 
 #: Fingerprints are 64 bits in BLOCKS blocks: two that differ in at most RADIUS < BLOCKS bits agree on some block.
 RADIUS, BLOCKS = 3, 4
-#: Items are broadcast; more than this is refused instead.
-MOST_ITEM_BYTES = 256 << 20
+#: The same where item windows are a table: fewer, wider blocks, as millions of windows would crowd narrow ones.
+TABLE_RADIUS, TABLE_BLOCKS = 1, 2
+#: Up to so many bytes of item text the index is broadcast (at most INDEX_BYTES a byte of text), beyond it is a table.
+BROADCAST_TEXT, INDEX_BYTES = 8 << 20, 40
+#: The weight of a shingle is at most this, so that no one of a window's two can carry its similarity alone.
+MOST_WEIGHT = 4.0
+#: Bits by which documents' windows are sifted before they are searched or shuffled.
+SIFT_BITS, TABLE_SIFT_BITS = 20, 27
+#: Texts searched at once, in characters; a longer one is searched alone.
+BATCH_CHARS = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -43,6 +55,7 @@ class Units:
 
 
 WORDS, CHARACTERS = Units(25, 5, 1, 14, 4), Units(40, 5, 1, 20, 7)
+KINDS = (WORDS, CHARACTERS)
 
 
 def normalise(text: str) -> str:
@@ -56,13 +69,17 @@ def normalise(text: str) -> str:
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
-def words(text: str) -> list[str]:
+def words(text: str) -> Iterable[str]:
     """Runs of letters and digits; marks within a number are no breaks."""
-    return _WORD.findall(_DIGIT_MARK.sub("", normalise(text)))
+    plain = _DIGIT_MARK.sub("", normalise(text))
+    return _WORD.findall(plain) if len(plain) < BATCH_CHARS else (m[0] for m in _WORD.finditer(plain))
+
 
+def characters(text: str) -> Iterable[str]:
+    return filter(str.isalnum, normalise(text))
 
-def characters(text: str) -> list[str]:
-    return [c for c in normalise(text) if c.isalnum()]
+
+UNITS_OF = (words, characters)
 
 
 class Hashes(dict[str, int]):
@@ -72,10 +89,11 @@ class Hashes(dict[str, int]):
         h = self[unit] = xxhash.xxh64_intdigest(unit)
         return h
 
-    def of(self, units: list[str]) -> np.ndarray:
-        if len(self) > 2_000_000:
+    def of(self, units: Iterable[str]) -> np.ndarray:
+        """Hashes of a text's units, taken one by one: a long text is never a list of its words."""
+        if len(self) > 500_000:
             self.clear()
-        return np.fromiter(map(self.__getitem__, units), dtype=np.uint64, count=len(units))
+        return np.fromiter(map(self.__getitem__, units), dtype=np.uint64)
 
 
 def pairs_of(h: np.ndarray, apart: int = 1) -> np.ndarray:
@@ -103,6 +121,51 @@ def simhash(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return np.packbits(total * 2 > len(parts), axis=1).view(np.uint64).ravel()
 
 
+def grams_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` units."""
+    total = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
+    for k in range(n if len(total) else 0):
+        total = (total ^ h[k : k + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(32)
+    return total
+
+
+def windows_of(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """One hash of both shingles of each window: windows that differ in it differ in a shingle."""
+    both = pairs_of(h)
+    a, b = (both[starts + k] for k in shingles_at(window))
+    return (a * np.uint64(0xD6E8FEB86659FD93)) ^ (b + (a >> np.uint64(31)))
+
+
+def covered(size: int, starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``size`` places lie in a run of ``n`` from one of ``starts``."""
+    change = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.minimum(starts + n, size), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def own_starts(own: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows that hold nothing but own wording."""
+    if len(own) < window:
+        return np.zeros(0, dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(own)])
+    return np.flatnonzero(total[window:] - total[:-window] == window)
+
+
+def is_passage(h: np.ndarray, item: np.ndarray, own: np.ndarray, shift: int, passage: int) -> bool:
+    """Whether document and item, laid over each other with ``shift``, agree for a passage of the item's own wording.
+
+    Single replaced units are bridged where at least two units agree on their other side.
+    """
+    a, b = max(0, shift), min(len(h), len(item) + shift)
+    if b - a < passage:
+        return False
+    same = (h[a:b] == item[a - shift : b - shift]).astype(np.uint8)
+    same[~own[a - shift : b - shift]] = 2
+    return any(m.end() - m.start() >= passage for m in re.finditer(rb"\x01+(?:\x00\x01{2,})*", same.tobytes()))
+
+
 @dataclass
 class Index:
     """Windows of all items of one kind of units, found by Hamming blocks."""
@@ -110,59 +173,59 @@ class Index:
     units: Units
     items: list[int] = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
-    own: list[np.ndarray] = field(default_factory=list)
 
     def build(self) -> Index:
         """Marks what several items share, then fingerprints every window with wording of its own."""
         n, u = self.units.shared, self.units
-        seen: dict[bytes, int] = {}
-        several: set[bytes] = set()
-        grams = [[h[a : a + n].tobytes() for a in range(len(h) - n + 1)] for h in self.hashes]
-        for k, gs in enumerate(grams):
-            for g in gs:
-                if seen.setdefault(g, k) != k:
-                    several.add(g)
-        item, start, prints, weights = [], [], [], {}
-        for k, (h, gs) in enumerate(zip(self.hashes, grams)):
-            own = np.ones(len(h), dtype=bool)
-            for a, g in enumerate(gs):
-                if g in several:
-                    own[a : a + n] = False
-            self.own.append(own)
-            starts = np.arange(max(0, len(h) - u.window + 1))
-            if len(starts):
-                starts = starts[np.convolve(own, np.ones(u.window), "valid") == u.window]
-            item.append(np.full(len(starts), k))
-            start.append(starts)
-            prints.append(simhash(h, starts, u.window))
-            for s in set(pairs_of(h).tolist()) if len(h) > 1 else ():
-                weights[s] = weights.get(s, 0) + 1
-        self.item = np.concatenate(item) if item else np.zeros(0, dtype=int)
-        self.start = np.concatenate(start) if start else np.zeros(0, dtype=int)
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64)
-        # weight of a two-unit shingle: the rarer among items, the more it says
-        keys = np.array(sorted(weights), dtype=np.uint64)
-        self.keys, self.weight = keys, np.array([1.0 + np.log(len(self.items) / weights[int(x)]) for x in keys])
-        self.known = np.zeros(1 << 20, dtype=bool)
-        self.known[keys >> np.uint64(44)] = True
-        # all items in a row, and where in it each window starts
+        size = np.array([len(h) for h in self.hashes], dtype=np.int64)
+        first = np.cumsum(size) - size
         flat = np.concatenate(self.hashes) if self.hashes else np.zeros(0, dtype=np.uint64)
-        size = np.array([len(h) for h in self.hashes], dtype=int)
-        self.pairs, self.place = pairs_of(flat), (np.cumsum(size) - size)[self.item] + self.start
+        self.first, self.size, self.flat = first, size, flat
+        of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        gram = grams_of(flat, n)
+        at = np.flatnonzero(of[: len(gram)] == of[len(of) - len(gram) :])
+        order = at[np.argsort(gram[at], kind="stable")]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = gram[order][1:] != gram[order][:-1]
+        group = np.cumsum(new) - 1
+        least, most = np.full(int(new.sum()), len(size)), np.full(int(new.sum()), -1)
+        np.minimum.at(least, group, of[order])
+        np.maximum.at(most, group, of[order])
+        self.own = ~covered(len(flat), order[(least != most)[group]], n)
+        place = own_starts(self.own, u.window)
+        place = place[of[place] == of[place + u.window - 1]]
+        self.place, self.item = place, of[place]
+        self.start = place - first[self.item]
+        self.prints = np.concatenate([simhash(flat, place[k : k + 65536], u.window) for k in range(0, len(place), 65536)] or [np.zeros(0, dtype=np.uint64)])
+        # weight of a two-unit shingle: the rarer among items, the more it says
+        self.pairs = pairs_of(flat)
+        inside = np.flatnonzero(of[:-1] == of[1:])
+        order = inside[np.lexsort((of[inside], self.pairs[inside]))]
+        once = np.ones(len(order), dtype=bool)
+        once[1:] = (self.pairs[order][1:] != self.pairs[order][:-1]) | (of[order][1:] != of[order][:-1])
+        self.keys, n_items = np.unique(self.pairs[order[once]], return_counts=True)
+        self.weight = np.minimum(MOST_WEIGHT, 1.0 + np.log(max(1, len(self.items)) / n_items))
+        self.known = np.zeros(1 << SIFT_BITS, dtype=bool)
+        if len(place):
+            self.known[windows_of(flat, place, u.window) >> np.uint64(64 - SIFT_BITS)] = True
         self.blocks = []
         for b in range(BLOCKS):
             part = (self.prints >> np.uint64(16 * b)).astype(np.uint16)
-            order = np.argsort(part, kind="stable")
-            self.blocks.append((order, np.searchsorted(part[order], np.arange(65537))))
+            order = np.argsort(part, kind="stable").astype(np.int32)
+            self.blocks.append((order, np.searchsorted(part[order], np.arange(65537)).astype(np.int32)))
+        del self.hashes
         return self
 
     def able(self, h: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose every shingle some item may have (by 20 bits of its hash); others equal none."""
+        """Starts of the windows that may have both shingles of an item's window (by bits of their hash).
+
+        A window with one shingle of an item's and another one beside it has at most MOST_WEIGHT / (MOST_WEIGHT + 2) of
+        its weight in common, less than the similarity asked for, so all others would be turned down later.
+        """
         if len(h) < self.units.window:
             return np.zeros(0, dtype=int)
-        some = self.known[pairs_of(h) >> np.uint64(44)]
-        n = len(h) - self.units.window + 1
-        return np.flatnonzero(np.logical_and.reduce([some[k : k + n] for k in shingles_at(self.units.window)]))
+        starts = np.arange(len(h) - self.units.window + 1)
+        return np.flatnonzero(self.known[windows_of(h, starts, self.units.window) >> np.uint64(64 - SIFT_BITS)])
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``prints``, item window) of all pairs within RADIUS bits; pairs may repeat."""
@@ -200,48 +263,42 @@ class Index:
         return common >= least * (a.sum(axis=1) + b.sum(axis=1) - common)
 
     def passage(self, h: np.ndarray, k: int, shift: int) -> bool:
-        """Whether document and item, laid over each other with ``shift``, agree for a passage of the item's own wording.
+        low, high = self.first[k], self.first[k] + self.size[k]
+        return is_passage(h, self.flat[low:high], self.own[low:high], shift, self.units.passage)
 
-        Single replaced units are bridged where at least two units agree on their other side.
-        """
-        item, own = self.hashes[k], self.own[k]
-        a, b = max(0, shift), min(len(h), len(item) + shift)
-        if b - a < self.units.passage:
-            return False
-        same = (h[a:b] == item[a - shift : b - shift]).astype(np.uint8)
-        same[~own[a - shift : b - shift]] = 2
-        return any(m.end() - m.start() >= self.units.passage for m in re.finditer(rb"\x01+(?:\x00\x01{2,})*", same.tobytes()))
+
+def kind_of(text: str, lang: str | None, spaceless: tuple[str, ...] = ("zh", "ja")) -> int:
+    """1 for an item counted in characters, 0 for one in words: by its language, or by its script without one."""
+    return int(lang in spaceless if lang else bool(_SPACELESS.search(text)))
 
 
-def build_indexes(items: list[tuple[int, str, str]], spaceless: tuple[str, ...] = ("zh", "ja")) -> list[Index]:
+def build_indexes(items: Iterable[tuple[int, str, str]]) -> list[Index]:
     """One index for words and one for characters, from (item_id, text, lang)."""
     hashes = Hashes()
     found = [Index(WORDS), Index(CHARACTERS)]
     for ident, text, lang in items:
-        if not text:
-            continue
-        by_char = lang in spaceless if lang else bool(_SPACELESS.search(text))
-        index = found[by_char]
-        index.items.append(ident)
-        index.hashes.append(hashes.of(characters(text) if by_char else words(text)))
+        if text:
+            kind = kind_of(text, lang)
+            found[kind].items.append(ident)
+            found[kind].hashes.append(hashes.of(UNITS_OF[kind](text)))
     return [i.build() for i in found]
 
 
+def document_units(texts: list[str | None], kind: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' units in a row, and how many each text has; a text without such a script has no characters."""
+    parts = [hashes.of(UNITS_OF[kind](t)) if t and not (kind and not _SPACELESS.search(t)) else np.zeros(0, dtype=np.uint64) for t in texts]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), np.array([len(p) for p in parts], dtype=np.int64)
+
+
 def leaked(texts: list[str | None], indexes: list[Index], hashes: Hashes, least: float = 0.8) -> list[list[int]]:
     """For each text the items of which it holds a passage."""
     found: list[set[int]] = [set() for _ in texts]
-    for index, by_char in zip(indexes, (False, True)):
+    for kind, index in enumerate(indexes):
         if not len(index.prints):
             continue
         u = index.units
-        units, lengths = [], []
-        for t in texts:
-            x = [] if not t or by_char and not _SPACELESS.search(t) else characters(t) if by_char else words(t)
-            units.extend(x)
-            lengths.append(len(x))
-        n = np.array(lengths)
+        h, n = document_units(texts, kind, hashes)
         first = np.cumsum(n) - n
-        h = hashes.of(units)
         # a window every stride units, as far as a text is long enough for a passage and an item may have its shingles
         doc_of = np.repeat(np.arange(len(texts)), n)
         starts = index.able(h)
@@ -255,7 +312,7 @@ def leaked(texts: list[str | None], indexes: list[Index], hashes: Hashes, least:
         if not len(at):
             continue
         # diagonals with at least as many windows as a passage has
-        longest = max(map(len, index.hashes))
+        longest = int(index.size.max())
         span = int(n.max()) + longest + 1
         shift = starts[at] - first[doc[at]] - index.start[window] + longest
         diagonals, count = np.unique((doc[at] * len(index.items) + index.item[window]) * span + shift, return_counts=True)
@@ -266,33 +323,144 @@ def leaked(texts: list[str | None], indexes: list[Index], hashes: Hashes, least:
     return [sorted(f) for f in found]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(item_id, doc_id): documents that hold a passage of an item's own text: 25 words in a row, or 40 characters in zh and ja.
+def batches_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most 1000 rows and about BATCH_CHARS of text."""
+    size = np.array([0 if x is None else x for x in pc.binary_length(batch.column(text)).to_pylist()], dtype=np.int64)
+    low, total = 0, 0
+    for k, n in enumerate(size):
+        if k > low and (k - low >= 1000 or total + n > BATCH_CHARS):
+            yield batch.slice(low, k - low)
+            low, total = k, 0
+        total += int(n)
+    if len(size) > low:
+        yield batch.slice(low)
 
-    Case, punctuation, mark-up, spacing, invisible characters, width and single replaced units don't break a passage.
-    Wording of 14 words (20 characters) or more that a second item has too belongs to none. Every window of every
-    document is searched by a fingerprint that leaves its middle unit out; all item windows within RADIUS bits are found
-    for sure, pass by exact weighted shingle similarity of 0.8, and where a diagonal has as many of them as the least
-    that a passage holds, however many single units are replaced in it (Units), the passage rule is applied to whole
-    texts along it. Null and short texts hold nothing; a null id comes out
-    as null. The items are held on the driver and broadcast: more than MOST_ITEM_BYTES of text raises. The corpus is
-    neither shuffled nor collected, so no group can be hot.
-    """
-    spark = documents.sparkSession
-    rows = items.select(item_id, text, lang)
-    size = rows.selectExpr(f"coalesce(sum(octet_length({text})), 0) as n").first()["n"]
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"{size} bytes of items: more than {MOST_ITEM_BYTES} can't be broadcast; search in parts")
-    held = spark.sparkContext.broadcast(build_indexes([tuple(r) for r in rows.orderBy(item_id).collect()]))
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
+
+
+def _by_broadcast(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """find_leaks with the items' index in every task: the corpus is read once and neither shuffled nor collected."""
+    held = documents.sparkSession.sparkContext.broadcast(build_indexes(tuple(r) for r in items.orderBy("item_id").collect()))
     schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in batches_of(batch, 1):
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 pairs = [(i, d) for d, found in zip(ids, leaked(texts, held.value, hashes)) for i in found]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
 
-    return documents.select(doc_id, text).mapInArrow(search, "item_id bigint, doc_id bigint")
+    return documents.mapInArrow(search, "item_id bigint, doc_id bigint")
+
+
+def _by_table(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """find_leaks for items of any size: their windows are a table, joined with the documents' on Hamming blocks.
+
+    Only a bitmap of TABLE_SIFT_BITS bits goes through the driver, however many items there are. The same pairs come
+    out: a window's two shingles must both be equal, so the fingerprints of all pairs that count are equal too.
+    """
+    spark = documents.sparkSession
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for ident, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                if text:
+                    kind = kind_of(text, lang)
+                    g = grams_of(hashes.of(UNITS_OF[kind](text)), KINDS[kind].shared)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), ident)), pa.array(np.full(len(g), kind, dtype=np.int32)), _signed(g), pa.array(np.arange(len(g), dtype=np.int32))], names=["item_id", "kind", "gram", "at"])
+
+    found = SharedTable(items.mapInArrow(grams, "item_id bigint, kind int, gram bigint, at int"), "grams").read()
+    several = found.groupBy("kind", "gram").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b").select("kind", "gram")
+    shared = found.join(several, ["kind", "gram"]).groupBy("item_id").agg(F.collect_list("at").alias("shared"))  # one item's places
+    held = SharedTable(items.join(shared, "item_id", "left"), "items").read()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for ident, text, lang, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text:
+                    continue
+                kind = kind_of(text, lang)
+                h, u = hashes.of(UNITS_OF[kind](text)), KINDS[kind]
+                starts = own_starts(~covered(len(h), np.array(at or [], dtype=np.int64), u.shared), u.window)
+                if len(starts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), ident)), pa.array(np.full(len(starts), kind, dtype=np.int32)), pa.array(starts.astype(np.int32)), _signed(simhash(h, starts, u.window)), _signed(windows_of(h, starts, u.window))], names=["item_id", "kind", "start", "print", "both"])
+
+    ours = SharedTable(held.mapInArrow(windows, "item_id bigint, kind int, start int, print bigint, both bigint"), "windows").read()
+    # buckets of 32768 bits are numbered from 1 and begin with the value 1
+    value = f"shiftrightunsigned(both, {64 - TABLE_SIFT_BITS}) + 1"
+    bits = ours.groupBy(F.expr(f"bitmap_bucket_number({value})").alias("n")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({value}))").alias("bits"))
+    sieve = np.zeros(1 << (TABLE_SIFT_BITS - 3), dtype=np.uint8)
+    for r in bits.collect():
+        sieve[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    shown = spark.sparkContext.broadcast(sieve)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for part in batches_of(batch, 1):
+                texts = part.column(1).to_pylist()
+                for kind, u in enumerate(KINDS):
+                    h, n = document_units(texts, kind, hashes)
+                    if len(h) < u.window:
+                        continue
+                    of, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                    starts = np.arange(len(h) - u.window + 1)
+                    both = windows_of(h, starts, u.window)
+                    at = (both >> np.uint64(64 - TABLE_SIFT_BITS)).astype(np.int64)
+                    ok = (shown.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (of[starts] == of[starts + u.window - 1]) & (n[of[starts]] >= u.passage)
+                    starts = starts[ok]
+                    if len(starts):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[starts])), pa.array(np.full(len(starts), kind, dtype=np.int32)), pa.array((starts - first[of[starts]]).astype(np.int64)), _signed(simhash(h, starts, u.window)), _signed(both[ok])], names=["doc_id", "kind", "at", "print", "both"])
+
+    theirs = documents.mapInArrow(search, "doc_id bigint, kind int, at bigint, print bigint, both bigint")
+    width = 64 // TABLE_BLOCKS
+    block = lambda c, b: F.shiftrightunsigned(c, width * b).bitwiseAND(F.lit((1 << width) - 1))
+    cut = lambda df: df.select("*", F.posexplode(F.array(*(block("print", b) for b in range(TABLE_BLOCKS)))).alias("block", "value"))
+    met = cut(theirs).join(cut(ours).withColumnsRenamed({"print": "of_print", "both": "of_both"}), ["kind", "block", "value"])
+    differ = F.col("print").bitwiseXOR(F.col("of_print"))
+    # a pair that agrees on several blocks counts at the first of them
+    earlier = [(F.col("block") <= b) | (block(differ, b) != 0) for b in range(TABLE_BLOCKS - 1)]
+    met = met.where((F.bit_count(differ) <= TABLE_RADIUS) & (F.col("both") == F.col("of_both")))
+    for c in earlier:
+        met = met.where(c)
+    least = F.when(F.col("kind") == 1, CHARACTERS.fewest).otherwise(WORDS.fewest)
+    lines = met.groupBy("kind", "doc_id", "item_id", (F.col("at") - F.col("start")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    lines = SharedTable(lines.groupBy("kind", "doc_id", "item_id").agg(F.collect_set("shift").alias("shifts")), "lines").read()
+    docs = documents.select(F.col("doc_id").alias("_d"), F.col("text").alias("doc_text"))
+    laid = lines.join(docs, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").join(held, "item_id").select("item_id", "doc_id", "kind", "shifts", "doc_text", "text", "shared")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            out = []
+            for item, doc, kind, shifts, doc_text, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                h, item_h = hashes.of(UNITS_OF[kind](doc_text)), hashes.of(UNITS_OF[kind](text))
+                own = ~covered(len(item_h), np.array(at or [], dtype=np.int64), KINDS[kind].shared)
+                if any(is_passage(h, item_h, own, s, KINDS[kind].passage) for s in shifts):
+                    out.append((item, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["item_id", "doc_id"])
+
+    return laid.mapInArrow(judge, "item_id bigint, doc_id bigint")
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", lang: str = "lang", broadcast_text: int = BROADCAST_TEXT) -> DataFrame:
+    """(item_id, doc_id): documents that hold a passage of an item's own text: 25 words in a row, or 40 characters in zh and ja.
+
+    Case, punctuation, mark-up, spacing, invisible characters, width and single replaced units don't break a passage.
+    Wording of 14 words (20 characters) or more that a second item has too belongs to none. Every window of every
+    document is searched by a fingerprint that leaves its middle unit out; all item windows within RADIUS bits are found
+    for sure, pass by exact weighted shingle similarity of 0.8, and where a diagonal has as many of them as the least
+    that a passage holds, however many single units are replaced in it (Units), the passage rule is applied to whole
+    texts along it. Null and short texts hold nothing; a null doc_id comes out as null. Item ids must not be null or
+    repeated. Items of up to ``broadcast_text`` bytes are an index in every task; more of them, however many, are a table
+    that is joined with the documents' windows, with the same result.
+    """
+    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    held = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    size = held.selectExpr("coalesce(sum(octet_length(text)), 0) as n").first()["n"]
+    return _by_broadcast(docs, held) if size <= broadcast_text else _by_table(docs, held)

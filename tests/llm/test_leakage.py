@@ -55,10 +55,39 @@ def test_leaks(spark):
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(M, "MOST_ITEM_BYTES", 10)
-    with pytest.raises(ValueError):
-        find_leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "x" * 11, "en", 0)], ITEMS))
+def test_items_as_a_table_give_the_same(spark):
+    docs = spark.createDataFrame([(k, t, "clash", "xx") for k, (t, _) in cases().items()] + [(10, TEXTS[1], None, None), (None, TEXTS[2], None, None)], DOCS)
+    items = spark.createDataFrame([(k, t, "en", 0) for k, t in TEXTS.items()] + [(5, CJK, "zh", 0), (6, None, "en", 0), (7, "", None, 0), (8, "too short", "en", 0)], ITEMS)
+    rows = lambda df: sorted(((r["item_id"], r["doc_id"]) for r in df.collect()), key=str)
+    assert rows(find_leaks(docs, items, broadcast_text=0)) == rows(find_leaks(docs, items)) and (2, None) in rows(find_leaks(docs, items, broadcast_text=0))
+    assert find_leaks(docs.limit(0), items, broadcast_text=0).count() == 0
+
+
+def test_the_index_is_small():
+    texts = [(k, prose(k, 400), "en") for k in range(50)] + [(100 + k, cjk(k, 600), "zh") for k in range(20)] + [(200, " ".join("abcdefgh"[k % 8] for k in range(4000)), "en")]
+    held = 0
+    for i in build_indexes(texts):
+        arrays = [x for x in vars(i).values() if isinstance(x, np.ndarray)] + [x for b in i.blocks for x in b]
+        held += sum(x.nbytes for x in arrays if len(x) < 1 << 16)
+    assert held < M.INDEX_BYTES * sum(len(t.encode()) for _, t, _ in texts)
+
+
+@pytest.mark.parametrize("gap", range(2, 25))
+@pytest.mark.parametrize("lang", ["en", "zh"])
+def test_a_unit_replaced_after_every_few(gap, lang):
+    spaced, split, fresh = (" ", str.split, prose) if lang == "en" else ("", list, cjk)
+    item = split(fresh(300, 90))
+    index = build_indexes([(1, spaced.join(item), lang)])
+    for low in range(0, 30, 3):
+        units = [x if (k + 1) % (gap + 1) else y for k, (x, y) in enumerate(zip(item[low : low + 60], split(fresh(301 + low, 400))))]
+        text = spaced.join(split(fresh(500 + low, 20)) + units + split(fresh(600 + low, 20)))
+        assert leaked([text], index, Hashes()) == [[1]]
+
+
+def test_long_tags_do_not_count():
+    words = cut(1, 0, 30).split()
+    tag = '<a href="https://example.org/' + "x/y " * 200 + '">'
+    assert leaked([" ".join([*words[:15], tag, *words[15:]])], build_indexes([(1, TEXTS[1], "en")]), Hashes()) == [[1]]
 
 
 def test_all_fingerprints_within_the_radius_are_found():
