@@ -73,19 +73,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_ROWS = 50_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, most: int = 10_000) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, most: int = 10_000, keep: bool = False) -> DataFrame:
     """Inner join of many ``rows`` with one ``keyed`` row per key, holding up where a key has a third of all rows.
 
     ``keyed`` has column ``n``: how many of ``rows`` have the key. Hot keys, those of at least HOT_ROWS rows and of at
     least ``total / most`` rows, are at most ``most`` many, so they are broadcast; rows of other keys are shuffled,
-    where no key can exceed the bound. Nothing is dropped. A null key matches nothing.
+    where no key can exceed the bound. Nothing is dropped. A null key matches nothing. ``keep`` keeps ``n``.
     """
     least = max(HOT_ROWS, total // most)
+    rest = keyed.where(F.col(n) < least)
+    hot = keyed.where(F.col(n) >= least)
+    if not keep:
+        keyed, rest, hot = keyed.drop(n), rest.drop(n), hot.drop(n)
     if total < HOT_ROWS:
-        return rows.join(keyed.drop(n), key)
-    hot = keyed.where(F.col(n) >= least).drop(n)
+        return rows.join(keyed, key)
     marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
     return (
         marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key)
-        .unionByName(marked.where(F.col("_hot").isNull()).drop("_hot").join(keyed.where(F.col(n) < least).drop(n), key))
+        .unionByName(marked.where(F.col("_hot").isNull()).drop("_hot").join(rest, key))
     )
