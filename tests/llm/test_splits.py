@@ -67,3 +67,14 @@ def test_splits_keep_groups_and_shares(spark):
 def test_rendezvous_moves_only_what_it_must(spark):
     df = spark.range(4000).select("id", rendezvous(F.col("id"), [("a", 1.0), ("b", 1.0)]).alias("x"), rendezvous(F.col("id"), [("a", 1.0), ("b", 1.0), ("c", 2.0)]).alias("y")).collect()
     assert all(r["x"] == r["y"] or r["y"] == "c" for r in df) and abs(sum(r["y"] == "c" for r in df) / 4000 - 0.5) < 0.03
+
+
+def test_components_of_any_size_go_by_hashing(spark):
+    rows = [(k, f"g{k // 3}", None, None, None, None) for k in range(1500)]
+    targets = [("test", 0.2), ("train", 0.8)]
+    related = related_components(spark.createDataFrame(rows, SCHEMA), "row", {"author": F.col("author")})
+    small = {r["component"]: r["split"] for r in assign_splits(related.where("component < 750"), targets).collect()}
+    large = {r["component"]: (r["split"], r["hashed"]) for r in assign_splits(related, targets).withColumn("hashed", rendezvous(F.col("component"), targets)).collect()}
+    # all but the few that calibration moves are where plain hashing puts them, and stay there as the table grows
+    assert sum(a != b for a, b in large.values()) < 0.06 * len(large) and sum(small[k] != large[k][0] for k in small) < 0.06 * len(small)
+    assert abs(sum(a == "test" for a, _ in large.values()) / len(large) - 0.2) < 0.004
