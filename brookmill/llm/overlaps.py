@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookmill.functions.names import window_names
-from brookmill.session import SharedTable
+from brookmill.session import SharedTable, join_hot
 
 
 def cosine_join(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -17,7 +17,8 @@ def cosine_join(vectors: DataFrame, threshold: float) -> DataFrame:
     norm of the rest is under the threshold: two vectors that share none of those have all their common terms in the
     rest of one of them, so their cosine is under the threshold. A posting carries the residual norm from its term on, the
     vector's largest weight and its weights' sum; a pair is kept if these bounds allow the threshold, and then the dot
-    product over all terms decides. Nothing is capped. Vectors without terms match nothing.
+    product over all terms decides. Nothing is capped. Vectors without terms match nothing. A term that is in many
+    vectors makes a large partition of the join, which adaptive execution splits on both sides.
     """
     once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator is computed once, however often its column is used
     v = vectors.where(F.size("terms") > 0).select("vec", "side", once("terms").alias("terms"))
@@ -66,22 +67,33 @@ def interval_terms(first: Column, last: Column, key: list[Column], scale: Column
     )
 
 
-def cross_split_pairs(
-    manifest: DataFrame, names: tuple[str, ...] = ("id", "video_path", "timeseries_path"), least: float = 0.9, train: str = "train", held: tuple[str, ...] = ("val", "test")
-) -> DataFrame:
-    """(row_no_a, row_no_b, source, split, covered): train and held-out rows of one source that are the same record.
+#: Members of one class in one task when pairs of classes are multiplied out.
+SHARE = 20_000
+NAMES = ("id", "video_path", "timeseries_path")
+HELD = ("val", "test")
+
+
+def record_classes(manifest: DataFrame, names: tuple[str, ...] = NAMES, train: str = "train", held: tuple[str, ...] = HELD) -> tuple[DataFrame, DataFrame]:
+    """Rows and their classes: (row_no, record) and (record, class_no, n).
 
-    A record is named by its ids and paths (brookmill.functions.names). Two are the same if a name of each has the same
-    entity and channel (null equals null) and their windows share at least ``least`` of the frames that either covers.
-    Rows with the same name are one vector, joined once and only then multiplied out, as every repeated row counts.
-    Rows without a name, source or split, and rows of other splits, match nothing. Extra columns are ignored.
+    A class are the rows of one source and split that name the same windows, ``record``; class_no is the smallest of
+    their row_no. Rows without a name, source or split, and rows of other splits, have none.
     """
     side = F.when(F.col("split") == train, 0).when(F.col("split").isin(*held), 1)
-    held_names = F.explode(F.array_distinct(window_names(F.array(*(F.col(c) for c in names)))))
-    named = manifest.select("row_no", "source", "split", side.alias("side"), held_names.alias("name"))
-    named = named.where("name is not null and source is not null and side is not null").select(
-        "row_no", "split", "side", F.struct("source", "name.entity", F.coalesce("name.ch", F.lit(-1)).alias("ch"), "name.first", "name.last").alias("name"))
-    named = SharedTable(named, "names").read()
+    found = F.array_sort(F.array_distinct(F.filter(window_names(F.array(*(F.col(c) for c in names))), lambda x: x.isNotNull())))
+    rows = manifest.select("row_no", "source", "split", side.alias("side"), F.explode(F.array(found)).alias("names")).where("source is not null and side is not null and size(names) > 0")
+    rows = SharedTable(rows.select("row_no", F.struct("source", "split", "side", "names").alias("record")), "records").read()
+    return rows, SharedTable(rows.groupBy("record").agg(F.min("row_no").alias("class_no"), F.count("*").alias("n")), "classes").read()
+
+
+def class_pairs(classes: DataFrame, least: float = 0.9) -> DataFrame:
+    """(class_a, class_b, n_a, n_b, source, split, covered): train and held-out classes that are the same record, once each.
+
+    Two are the same if a name of each has the same entity and channel (null equals null) and their windows share at
+    least ``least`` of the frames that either covers. The cosine join is over distinct names, so copies cost nothing.
+    """
+    named = classes.select("class_no", "n", "record.split", "record.side", "record.source", F.explode("record.names").alias("name")).select(
+        "class_no", "n", "split", "side", F.struct("source", "name.entity", F.coalesce("name.ch", F.lit(-1)).alias("ch"), "name.first", "name.last").alias("name"))
     vectors = named.select("side", "name").distinct()
     # windows that share nine tenths differ in length by a tenth: each is written at the scale of its length and, near a power of two, at the next one too
     first, last = F.col("name.first"), F.col("name.last")
@@ -94,18 +106,41 @@ def cross_split_pairs(
     common = F.least("a.last", "b.last") - F.greatest("a.first", "b.first") + 1
     either = F.greatest("a.last", "b.last") - F.least("a.first", "b.first") + 1
     near = near.withColumn("covered", common / either).where((common >= 1) & (common * 1000 >= either * int(round(least * 1000))))
-    a = named.where("side = 0").select(F.col("name").alias("a"), F.col("row_no").alias("train_row"))
-    b = named.where("side = 1").select(F.col("name").alias("b"), F.col("row_no").alias("held_row"), "split")
-    pairs = near.join(a, "a").join(b, "b")
-    return pairs.groupBy(F.least("train_row", "held_row").alias("row_no_a"), F.greatest("train_row", "held_row").alias("row_no_b")).agg(
-        F.first("a.source").alias("source"), F.first("split").alias("split"), F.max("covered").alias("covered"))
-
-
-def overlap_report(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per source and held-out split: pairs, held-out rows that are also train rows, held-out rows."""
-    held = manifest.where(F.col("split").isin("val", "test")).groupBy("source", "split").agg(F.count("*").alias("n_held"))
-    rows = manifest.where(F.col("split").isin("val", "test")).select(F.col("row_no").alias("held_row"))
-    hit = pairs.select("source", "split", F.explode(F.array("row_no_a", "row_no_b")).alias("held_row")).join(rows, "held_row", "left_semi")
-    per = pairs.groupBy("source", "split").agg(F.count("*").alias("n_pairs"))
-    distinct = hit.groupBy("source", "split").agg(F.countDistinct("held_row").alias("n_leaked"))
-    return held.join(per, ["source", "split"], "left").join(distinct, ["source", "split"], "left").na.fill(0, ["n_pairs", "n_leaked"])
+    a = named.where("side = 0").select(F.col("name").alias("a"), F.col("class_no").alias("class_a"), F.col("n").alias("n_a"))
+    b = named.where("side = 1").select(F.col("name").alias("b"), F.col("class_no").alias("class_b"), F.col("n").alias("n_b"), "split")
+    pairs = near.join(a, "a").join(b, "b").select("class_a", "class_b", "n_a", "n_b", F.col("a.source").alias("source"), "split", "covered")
+    return pairs.groupBy("class_a", "class_b", "n_a", "n_b", "source", "split").agg(F.max("covered").alias("covered"))
+
+
+def cross_split_pairs(manifest: DataFrame, names: tuple[str, ...] = NAMES, least: float = 0.9, train: str = "train", held: tuple[str, ...] = HELD) -> DataFrame:
+    """(row_no_a, row_no_b, source, split, covered): train and held-out rows of one source that are the same record.
+
+    Pairs of classes (class_pairs) multiplied out by their rows, as every repeated row counts; a class of many rows is
+    dealt out in shares of about SHARE rows. Extra columns are ignored.
+    """
+    rows, classes = record_classes(manifest, names, train, held)
+    pairs = SharedTable(class_pairs(classes, least), "pairs").read()
+    of = join_hot(rows, classes, "record", "n", rows.count(), keep=True).select("row_no", "class_no", F.pmod(F.xxhash64("row_no"), _shares(F.col("n"))).alias("share"))
+    of = SharedTable(of, "members").read()
+    for side, row in (("a", "train_row"), ("b", "held_row")):
+        dealt = pairs.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), _shares(F.col(f"n_{side}")) - 1)))
+        pairs = dealt.join(of.select(F.col("class_no").alias(f"class_{side}"), "share", F.col("row_no").alias(row)), [f"class_{side}", "share"]).drop("share")
+    return pairs.select(F.least("train_row", "held_row").alias("row_no_a"), F.greatest("train_row", "held_row").alias("row_no_b"), "source", "split", "covered")
+
+
+def _shares(n: Column) -> Column:
+    return F.ceil(n / F.lit(SHARE)).cast("bigint")
+
+
+def overlap_report(manifest: DataFrame, names: tuple[str, ...] = NAMES, least: float = 0.9, train: str = "train", held: tuple[str, ...] = HELD) -> DataFrame:
+    """Per source and held-out split: pairs, held-out rows that are also train rows, held-out rows.
+
+    Counted from pairs of classes and how many rows they have, so no pair of rows is ever made. A null source has a row
+    of its own, without pairs.
+    """
+    _, classes = record_classes(manifest, names, train, held)
+    pairs = SharedTable(class_pairs(classes, least), "pairs").read()
+    per = pairs.groupBy("source", "split").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n_pairs"))
+    hit = pairs.groupBy("source", "split", "class_b").agg(F.first("n_b").alias("n")).groupBy("source", "split").agg(F.sum("n").alias("n_leaked"))
+    all_held = manifest.where(F.col("split").isin(*held)).groupBy("source", "split").agg(F.count("*").alias("n_held"))
+    return all_held.join(per, ["source", "split"], "left").join(hit, ["source", "split"], "left").na.fill(0, ["n_pairs", "n_leaked"])

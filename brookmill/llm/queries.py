@@ -58,7 +58,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     manifest = table(spark, d, "manifest").select("row_no", "id", "video_path", "timeseries_path", "source", "split")
-    return overlap_report(manifest, cross_split_pairs(manifest))
+    return overlap_report(manifest)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,20 +99,28 @@ def _named(c: str, part: int) -> str:
     return f"regexp_extract({_CANON.format(c=c)}, {_NAME}, {part})"
 
 
+_P6 = f"""
+            named as (
+              select row_no, source, split, x.e, x.c, cast(x.f as bigint) as f, cast(x.l as bigint) as l from (
+                select row_no, source, split, unnest([
+                  {', '.join("{'e': " + _named(c, 1) + ", 'c': " + _named(c, 4) + ", 'f': nullif(" + _named(c, 2) + ", ''), 'l': nullif(" + _named(c, 3) + ", '')}" for c in ('id', 'video_path', 'timeseries_path'))}
+                ]) as x from manifest) where length(x.e) = 10),
+            pairs as (
+              select distinct t.row_no as train_row, h.row_no as held_row, source, h.split as split
+              from named t join named h using (source, e, c)
+              where t.split = 'train' and h.split in ('val', 'test') and t.f <= t.l and h.f <= h.l
+                and 10 * (least(t.l, h.l) - greatest(t.f, h.f) + 1) >= 9 * (greatest(t.l, h.l) - least(t.f, h.f) + 1))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
             with named as (select row_no, {_named('id', 1)} as e from manifest where id is not null),
             firsts as (select e, min(row_no) as a from named where length(e) = 10 group by e)
             select a as row_no_a, row_no as row_no_b from named join firsts using (e) where row_no <> a""",
-        "p6_found": f"""
-            with named as (
-              select row_no, source, split, x.e, x.c, cast(x.f as bigint) as f, cast(x.l as bigint) as l from (
-                select row_no, source, split, unnest([
-                  {', '.join("{'e': " + _named(c, 1) + ", 'c': " + _named(c, 4) + ", 'f': nullif(" + _named(c, 2) + ", ''), 'l': nullif(" + _named(c, 3) + ", '')}" for c in ('id', 'video_path', 'timeseries_path'))}
-                ]) as x from manifest) where length(x.e) = 10)
-            select distinct least(t.row_no, h.row_no) as row_no_a, greatest(t.row_no, h.row_no) as row_no_b
-            from named t join named h using (source, e, c)
-            where t.split = 'train' and h.split in ('val', 'test') and t.f <= t.l and h.f <= h.l
-              and 10 * (least(t.l, h.l) - greatest(t.f, h.f) + 1) >= 9 * (greatest(t.l, h.l) - least(t.f, h.f) + 1)""",
+        "p6_found": f"with {_P6} select least(train_row, held_row) as row_no_a, greatest(train_row, held_row) as row_no_b from pairs",
+        "p6_report": f"""
+            with {_P6}, held as (select source, split, count(*) as n_held from manifest where split in ('val', 'test') group by all),
+            hit as (select source, split, count(*) as n_pairs, count(distinct held_row) as n_leaked from pairs group by all)
+            select held.source, held.split, n_held, coalesce(n_pairs, 0) as n_pairs, coalesce(n_leaked, 0) as n_leaked from held left join hit on held.source = hit.source and held.split = hit.split""",
     }

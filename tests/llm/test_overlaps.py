@@ -54,12 +54,23 @@ def test_pairs_against_brute_force(spark):
     pairs = cross_split_pairs(df)
     got = [(p["row_no_a"], p["row_no_b"]) for p in pairs.collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 50
-    report = {(x["source"], x["split"]): x for x in overlap_report(df, pairs).collect() if x["source"]}
+    report = {(x["source"], x["split"]): x for x in overlap_report(df).collect() if x["source"]}
     assert sum(x["n_pairs"] for x in report.values()) == len(want)
     leaked = {b if names[b][1] != "train" else a for a, b in want}
     assert sum(x["n_leaked"] for x in report.values()) == len(leaked)
 
 
+def test_one_name_very_often(spark):
+    n = 100_000
+    rows = spark.range(n + 30).select(
+        F.col("id").alias("row_no"), F.when(F.col("id") < n, "abcdefgh01_0_99").otherwise(F.concat(F.lit("abcdefgh02_"), F.col("id").cast("string"), F.lit("_999999"))).alias("id"), F.lit(None).cast("string").alias("video_path"),
+        F.lit("").alias("timeseries_path"), F.lit("a").alias("source"), F.when(F.col("id") % 25_000 == 7, "val").otherwise("train").alias("split"))
+    pairs = cross_split_pairs(rows)
+    want = 4 * (n - 4) + 29
+    assert pairs.count() == want and pairs.select("row_no_a", "row_no_b").distinct().count() == want
+    assert [tuple(r) for r in overlap_report(rows).collect()] == [("a", "val", 5, want, 5)]
+
+
 def test_empty(spark):
     assert cross_split_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     assert cosine_join(spark.range(2).select(F.col("id").alias("vec"), F.lit(0).alias("side"), F.expr("cast(array() as array<struct<term:string,w:double>>)").alias("terms")), 0.9).count() == 0
