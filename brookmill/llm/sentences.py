@@ -403,17 +403,23 @@ def run(symbol_rows: list[np.ndarray]) -> list[np.ndarray]:
     return [flat[a:b] - f * CHUNK for a, b, f in zip(low, high, first)]
 
 
-def boundaries(texts: list[str | None]) -> list[list[int]]:
-    """For each text the ends of its sentences, as numbers of characters up to and including the last one."""
+def spans(texts: list[str | None]) -> list[list[tuple[int, int]]]:
+    """For each text (start, end) of its sentences: of the first character that is no blank or quoting mark, and after the last one."""
     rows = [symbols(t) if t and not t.isspace() else np.zeros(0, dtype=np.uint8) for t in texts]
     found = []
     for s, ends in zip(rows, run(rows)):
         solid = np.flatnonzero((s != SPACE) & (s != BREAK))
-        k = np.searchsorted(solid, ends) - 1
-        found.append((solid[k[k >= 0]] + 1).tolist())
+        k = np.unique(np.searchsorted(solid, ends))
+        k = k[k > 0]
+        found.append(list(zip(solid[np.concatenate([[0], k[:-1]])].tolist() if len(k) else [], (solid[k - 1] + 1).tolist())))
     return found
 
 
+def boundaries(texts: list[str | None]) -> list[list[int]]:
+    """For each text the ends of its sentences, as numbers of characters up to and including the last one."""
+    return [[e for _, e in x] for x in spans(texts)]
+
+
 #: Texts of more characters than this are cut at blank lines into parts of about as many, which go to any task.
 LONG = 1 << 20
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:>[^\S\n]*)*\n")
@@ -432,21 +438,15 @@ def long_parts(text: str, size: int = LONG) -> list[tuple[int, int]]:
 
 def sentences_of(texts: list[str | None]) -> Iterator[list[tuple[int, int, int, str]]]:
     """For each text (position, start, end, sentence) in order."""
-    for t, ends in zip(texts, boundaries(texts)):
-        out, low = [], 0
-        for n, e in enumerate(ends):
-            piece = t[low:e]
-            start = low + len(piece) - len(piece.lstrip())
-            out.append((n, start, e, t[start:e]))
-            low = e
-        yield out
+    for t, found in zip(texts, spans(texts)):
+        yield [(n, a, b, t[a:b]) for n, (a, b) in enumerate(found)]
 
 
 def split_sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
     """(doc_id, position, start_pos, end_pos, sentence): one row per sentence of every text, in order from 0.
 
-    ``end_pos`` counts code points from the start of the text up to and including the sentence's last character.
-    Null, empty and blank texts have none. Rules need no language: scripts and words decide, so missing or wrong
+    ``end_pos`` counts code points from the start of the text up to and including the sentence's last character;
+    a sentence begins after the quoting marks of its line. Null, empty and blank texts have none. Rules need no language: scripts and words decide, so missing or wrong
     labels don't matter. Texts are cut where they are read, without a shuffle; those of more than ``long`` characters
     are cut at blank lines into rows that any task can take, and a part's sentences are numbered on from how many the
     parts before it have.
