@@ -409,9 +409,12 @@ def spans(texts: list[str | None]) -> list[list[tuple[int, int]]]:
     found = []
     for s, ends in zip(rows, run(rows)):
         solid = np.flatnonzero((s != SPACE) & (s != BREAK))
-        k = np.unique(np.searchsorted(solid, ends))
-        k = k[k > 0]
-        found.append(list(zip(solid[np.concatenate([[0], k[:-1]])].tolist() if len(k) else [], (solid[k - 1] + 1).tolist())))
+        part, low = [], 0
+        for k in np.searchsorted(solid, ends).tolist():
+            if k > low:
+                part.append((int(solid[low]), int(solid[k - 1]) + 1))
+                low = k
+        found.append(part)
     return found
 
 
