@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from brookmill.session import SharedTable
 
-#: Series are cut into pieces of CHUNK seconds, each read with HALO seconds of its neighbours, so that no series is one task.
-CHUNK, HALO = 6 * 3600, 1800
+#: A series of at least this many readings (and of a ten-thousandth of all) is cut into pieces of about as many, so that it is
+#: not one task; readings at the ends of pieces are judged with their neighbours in the pieces beside them.
+PIECE = 200_000
+#: Readings that a measure looks back and ahead.
+BACK, AHEAD = 2, 4
 #: Spikes of up to so many readings are measured reading by reading, longer ones between the steps at their ends.
 WIDEST = 3
 #: Seconds that a spike may last at most, however many readings it has: beyond that it is a level of its own.
-LONGEST = HALO
+LONGEST = 1800
 #: A context's sketch holds if it saw this many readings; else the source's does, else that of all sources.
 LEAST_CONTEXT, LEAST_SOURCE = 400, 60
 HOUR_BANDS = 4
@@ -22,59 +25,99 @@ SKETCH = 2000
 KINDS = ("impossible", "spike", "stuck", "jump")
 
 
-def _pieces(points: DataFrame, series: str) -> DataFrame:
-    """Adds ``piece``, and ``own``: whether the reading belongs to that piece or is only read along."""
-    s = F.unix_seconds(F.col("at").cast("timestamp"))
-    first, last = F.floor((s - HALO) / CHUNK), F.floor((s + HALO) / CHUNK)
-    return points.withColumn("piece", F.explode(F.sequence(first, last))).withColumn("own", F.col("piece") == F.floor(s / CHUNK))
+def _pieced(readings: DataFrame, piece: int = PIECE) -> tuple[DataFrame, bool]:
+    """Adds ``piece`` to readings, 0 but for those of large series; and whether there are such series, of which fewer than 10000 can exist."""
+    s = F.unix_micros(F.col("at").cast("timestamp"))
+    counts = readings.groupBy("series").agg(F.count("*").alias("_n"), F.min(s).alias("_first"), F.max(s).alias("_last"))
+    seen = counts.agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).first()
+    least = max(piece, (seen["n"] or 0) // 10_000)
+    if (seen["most"] or 0) < least:
+        return readings.withColumn("piece", F.lit(0)), False
+    large = counts.where(F.col("_n") >= least)
+    share = F.try_divide((s - F.col("_first")).cast("double"), (F.col("_last") - F.col("_first") + 1).cast("double"))
+    return readings.join(F.broadcast(large), "series", "left").withColumn("piece", F.coalesce(F.floor(share * F.ceil(F.col("_n") / piece)).cast("int"), F.lit(0))).drop("_n", "_first", "_last"), True
 
 
-def shapes(points: DataFrame, series: str) -> DataFrame:
-    """For each point how far it and its next ones leave the line between their neighbours, and how long its value stays.
+def _neighbours(points: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``b1, b2, a1 .. a4``: STRUCT<t, v, at> of the readings before and after in the same group."""
+    w = W.partitionBy(*by).orderBy("at")
+    x = F.struct("t", "v", "at")
+    return points.select("*", *(F.lag(x, k).over(w).alias(f"b{k}") for k in range(1, BACK + 1)), *(F.lead(x, k).over(w).alias(f"a{k}") for k in range(1, AHEAD + 1)))
 
-    ``points``: series, source, at, v; one row per series and time, no null. Adds for k = 1..WIDEST ``dev_k`` (least
-    distance of the k readings from the line, 0 if they aren't all on one side of it), ``near_k`` (how badly the next
-    neighbours on both sides fit the line), ``out_k`` (how far the k readings lie outside both neighbours' values),
-    and ``run``, the number of readings in a row that have this value. Measures are null where the k readings stay
+
+def in_order(readings: DataFrame, piece: int = PIECE) -> DataFrame:
+    """series, source, at, v, t, the readings beside each one, and ``run``, how many readings in a row have this value.
+
+    ``readings``: series, source, at, v, without null, NaN and impossible values. Readings of one time are one, that
+    of the largest value. Readings near the end of a piece take their neighbours, and runs that reach it their length,
+    from the whole series: only those at the ends of pieces are looked at once more.
+    """
+    given, cut = _pieced(readings, piece)
+    of = ["series", "piece"]
+    copies = W.partitionBy(*of).orderBy("at", F.desc("v"), "source")
+    once = given.withColumn("_same", F.lag("at").over(copies).eqNullSafe(F.col("at"))).where("not _same").drop("_same")
+    once = once.withColumn("t", F.unix_micros(F.col("at").cast("timestamp")) / 1e6)
+    rows = _neighbours(once, of)
+    w = W.partitionBy(*of).orderBy("at")
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("b1.v") == F.col("v"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("run", F.count("*").over(W.partitionBy(*of, "_run")))
+    if not cut:
+        return rows.drop("_run", "piece")
+    rows = SharedTable(rows.withColumns({"_at": F.row_number().over(w), "_of": F.count("*").over(W.partitionBy(*of))}), "pieces").read()
+    # a reading's neighbours in the whole series: of the readings at the ends of pieces, those beside them are there too
+    reach = BACK + AHEAD
+    near = (F.col("_at") <= 2 * reach) | (F.col("_at") > F.col("_of") - 2 * reach)
+    wrong = (F.col("_at") <= BACK) | (F.col("_at") > F.col("_of") - AHEAD)
+    beside = [f"b{k}" for k in range(1, BACK + 1)] + [f"a{k}" for k in range(1, AHEAD + 1)]
+    ends = _neighbours(rows.where(near).drop(*beside), ["series"]).where(wrong)
+    rows = rows.where(~wrong).unionByName(ends)
+    # runs that reach over the ends of pieces: the first and last run of each piece, in order, are joined where the value stays
+    runs = rows.groupBy(*of, "_run").agg(F.min("at").alias("at"), F.min("v").alias("v"), F.count("*").alias("n"), F.max((F.col("_at") == 1).cast("int")).alias("_head"), F.max((F.col("_at") == F.col("_of")).cast("int")).alias("_tail"))
+    runs = runs.where("_head = 1 or _tail = 1")
+    order = W.partitionBy("series").orderBy("piece", "_run")
+    new = F.when((F.lag("v").over(order) == F.col("v")) & (F.lag("piece").over(order) < F.col("piece")), 0).otherwise(1)
+    runs = runs.withColumn("_new", new).withColumn("_joined", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.select(*of, "_run", F.sum("n").over(W.partitionBy("series", "_joined")).alias("_long"))
+    return rows.join(runs, [*of, "_run"], "left").withColumn("run", F.coalesce("_long", "run")).drop("_long", "_run", "_at", "_of", "piece")
+
+
+def shapes(readings: DataFrame, piece: int = PIECE) -> DataFrame:
+    """For each reading how far it and its next ones leave the line between their neighbours, and how long its value stays.
+
+    To what in_order gives are added for k = 1..WIDEST ``dev_k`` (least distance of the k readings from the line, 0 if
+    they aren't all on one side of it), ``near_k`` (how badly the next neighbours on both sides fit the line), ``out_k``
+    (how far the k readings lie outside both neighbours' values). Measures are null where the k readings stay
     within their neighbours' values, but for dev_1; ``at_k`` is the time of the k-th next reading where a wider measure needs it.
     ``rate`` is the change per second since the reading before, ``step`` that change itself where the steps next to it
     go less far in its direction, ``calm`` how far those go and ``from`` the time of the reading before.
     """
-    key = [series, "piece"]
-    w = W.partitionBy(*key).orderBy("at")
-    t = F.unix_micros(F.col("at").cast("timestamp")) / 1e6
-    p = _pieces(points, series).withColumn("t", t)
-    # one look back and ahead for all: the two readings before and the WIDEST + 1 after
-    for c in ("v", "t"):
-        for k in (1, 2):
-            p = p.withColumn(f"{c}_b{k}", F.lag(c, k).over(w))
-        for k in range(1, WIDEST + 2):
-            p = p.withColumn(f"{c}_a{k}", F.lead(c, k).over(w))
-    at = lambda c, j: F.col(c) if j == 0 else F.col(f"{c}_a{j}") if j > 0 else F.col(f"{c}_b{-j}")
-    p = p.withColumn("_new", F.when(F.col("v_b1") == F.col("v"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    p = p.withColumn("run", F.count("*").over(W.partitionBy(*key, "_run")))
+    p = in_order(readings, piece)
+    at = lambda c, j: F.col(c) if j == 0 else F.col(f"a{j}.{c}") if j > 0 else F.col(f"b{-j}.{c}")
     for k in range(1, WIDEST + 1):
         left, right = at("v", -1), at("v", k)
-        slope = F.try_divide(right - left, at("t", k) - at("t", -1))
-        line = lambda j: left + slope * (at("t", j) - at("t", -1))  # noqa: B023, E731
-        away = [at("v", j) - line(j) for j in range(k)]
-        low, high = (F.least(*away), F.greatest(*away)) if k > 1 else (away[0], away[0])
-        dev = F.when(low > 0, low).when(high < 0, -high).otherwise(0.0)
-        misfit = F.greatest(
-            F.coalesce(F.abs(at("v", -2) - line(-2)), F.lit(0.0)), F.coalesce(F.abs(at("v", k + 1) - line(k + 1)), F.lit(0.0)))
         vs = [at("v", j) for j in range(k)]
         top, bottom = (F.greatest(*vs), F.least(*vs)) if k > 1 else (vs[0], vs[0])
         out = F.greatest(bottom - F.greatest(left, right), F.least(left, right) - top)
-        leaves = out > 0
-        kept = {f"dev_{k}": dev if k == 1 else F.when(leaves, dev), f"near_{k}": F.when(leaves, misfit), f"out_{k}": F.when(leaves, out)}
-        p = p.withColumns({c: x.cast("float") for c, x in kept.items()})
-    step = F.col("v") - F.col("v_b1")
-    calm = F.greatest(F.lit(0.0), *(F.coalesce(F.signum(step) * x, F.lit(0.0)) for x in (F.col("v_b1") - F.col("v_b2"), F.col("v_a1") - F.col("v"))))
-    p = p.withColumns({"rate": F.abs(F.try_divide(step, F.col("t") - F.col("t_b1"))).cast("float"), "step": F.when(F.abs(step) > calm, step), "calm": F.when(F.abs(step) > calm, calm).cast("float"), "from": F.when(F.abs(step) > calm, F.lag("at", 1).over(w))})
-    later = [F.lead("at", k).over(w).alias(f"at_{k}") for k in range(1, WIDEST)]
+        p = p.withColumns({f"out_{k}": F.when(out > 0, out).cast("float"), f"_slope_{k}": F.try_divide(right - left, at("t", k) - at("t", -1))})
+    for k in range(1, WIDEST + 1):
+        left, slope = at("v", -1), F.col(f"_slope_{k}")
+        away = lambda j: at("v", j) - left - slope * (at("t", j) - at("t", -1))  # noqa: B023, E731
+        leaves = F.col(f"out_{k}").isNotNull()
+        if k == 1:
+            dev = F.abs(away(0))
+        else:
+            # the readings lie outside both neighbours, so all on one side of the line
+            dev = F.when(leaves, F.least(*(F.abs(away(j)) for j in range(k))))
+        misfit = F.when(leaves, F.greatest(F.coalesce(F.abs(away(-2)), F.lit(0.0)), F.coalesce(F.abs(away(k + 1)), F.lit(0.0))))
+        p = p.withColumns({f"dev_{k}": dev.cast("float"), f"near_{k}": misfit.cast("float")})
+    step = F.col("v") - at("v", -1)
+    calm = F.greatest(F.lit(0.0), *(F.coalesce(F.signum(step) * x, F.lit(0.0)) for x in (at("v", -1) - at("v", -2), at("v", 1) - F.col("v"))))
+    p = p.withColumns({"_step": step, "_calm": calm, "rate": F.abs(F.try_divide(step, F.col("t") - at("t", -1))).cast("float")})
+    stands = F.abs("_step") > F.col("_calm")
+    p = p.withColumns({"step": F.when(stands, F.col("_step")), "calm": F.when(stands, F.col("_calm")).cast("float"), "from": F.when(stands, F.col("b1.at"))})
+    later = [F.when(F.coalesce(*(F.col(f"out_{j}") for j in range(k + 1, WIDEST + 1))).isNotNull(), F.col(f"a{k}.at")).alias(f"at_{k}") for k in range(1, WIDEST)]
     measures = [f"{c}_{k}" for k in range(1, WIDEST + 1) for c in ("dev", "near", "out")]
-    p = p.select(series, "piece", "own", "source", "at", "v", "run", "rate", "step", "calm", "from", *measures, *later).where("own").drop("own", "piece")
-    return p.withColumns({f"at_{k}": F.when(F.coalesce(*(F.col(f"out_{j}") for j in range(k + 1, WIDEST + 1))).isNotNull(), F.col(f"at_{k}")) for k in range(1, WIDEST)})
+    return p.select("series", "source", "at", "v", "run", "rate", "step", "calm", "from", *measures, *later)
 
 
 def usual(shaped: DataFrame) -> DataFrame:
@@ -90,6 +133,7 @@ def usual(shaped: DataFrame) -> DataFrame:
         F.count_if(F.col("dev_1") > 0).alias("n"), F.kll_sketch_agg_double(F.when(F.col("dev_1") > 0, F.col("dev_1")), SKETCH).alias("dev"),
         F.count_if(F.col("rate") > 0).alias("n_rates"), F.kll_sketch_agg_double(F.when(F.col("rate") > 0, F.col("rate")), SKETCH).alias("rates"),
         F.count(runs).alias("n_runs"), F.kll_sketch_agg_double(runs, SKETCH).alias("runs"))
+    fine = SharedTable(fine, "sketches").read()
     coarse = fine.groupBy("source").agg(F.sum("n").alias("n_s"), F.kll_merge_agg_double("dev", SKETCH).alias("dev_s"), F.sum("n_rates").alias("n_rates_s"), F.kll_merge_agg_double("rates", SKETCH).alias("rates_s"), F.sum("n_runs").alias("n_runs_s"), F.kll_merge_agg_double("runs", SKETCH).alias("runs_s"))
 
     def fence(sketch: str) -> Column:
@@ -142,7 +186,7 @@ def wide_spikes(edges: DataFrame, points: DataFrame, expand: float) -> DataFrame
 
 def flag_spikes(
     readings: DataFrame, source: str = "vehicle_id", series: str = "timeseries_path", at: str = "timestamp", value: str = "vEgo", ident: str = "reading_id",
-    low: float = 0.0, high: float = 90.0, expand: float = 4.5, contrast: float = 2.2, outside: float = 0.2, stuck_factor: float = 4.0, stuck_least: int = 9,
+    low: float = 0.0, high: float = 90.0, expand: float = 4.5, contrast: float = 2.2, outside: float = 0.2, stuck_factor: float = 4.0, stuck_least: int = 9, piece: int = PIECE,
 ) -> DataFrame:
     """(ident, kind): the readings that cannot be true, one row each; kind is the first of KINDS that applies.
 
@@ -159,8 +203,8 @@ def flag_spikes(
     r = readings.select(F.col(ident).alias("_id"), F.col(series).alias("series"), F.col(source).alias("source"), F.col(at).alias("at"), F.col(value).cast("double").alias("v"))
     r = r.where("v is not null and not isnan(v)")
     possible = (F.col("v") >= low) & (F.col("v") <= high)
-    points = r.where(possible & F.col("series").isNotNull() & F.col("at").isNotNull()).groupBy("series", "at").agg(F.max("v").alias("v"), F.min("source").alias("source"))
-    shaped = SharedTable(shapes(points, "series"), "shapes").read()
+    points = r.where(possible & F.col("series").isNotNull() & F.col("at").isNotNull()).drop("_id")
+    shaped = SharedTable(shapes(points, piece), "shapes").read()
     band = F.floor(F.hour(F.col("at").cast("timestamp")) * HOUR_BANDS / 24).cast("int")
     some = F.coalesce(*(F.col(f"out_{k}") for k in range(1, WIDEST + 1))).isNotNull()
     # only readings that could be cases go on: everything else was summed up in the sketches

@@ -54,29 +54,36 @@ def test_resent_copies_and_dirty_keys(spark):
     assert got == {100: "spike", 1000: "spike", 1002: "impossible"}
 
 
-def test_pieces_change_nothing(spark, monkeypatch):
-    import brookmill.operators.spikes as m
-
+def test_pieces_change_nothing(spark):
     values = noisy(3000, 3)
     for k in (17, 500, 501, 1799, 1800, 2500):
         values[k] -= 7
-    df, _ = table(spark, {"s": values})
+    values[1180:1230] = [21.5] * 50  # a run over the ends of pieces
+    df, _ = table(spark, {"s": values, "t": noisy(30, 4)})
     whole = {tuple(r) for r in flag_spikes(df).collect()}
-    monkeypatch.setattr(m, "CHUNK", 600)
-    monkeypatch.setattr(m, "HALO", 60)
-    assert {tuple(r) for r in flag_spikes(df).collect()} == whole and len(whole) == 6
+    assert len(whole) == 56
+    for piece in (600, 11, 1):
+        assert {tuple(r) for r in flag_spikes(df, piece=piece).collect()} == whole, piece
+
+
+def test_readings_may_be_hours_apart(spark):
+    values = noisy(400, 5)
+    for k in (60, 61, 200):
+        values[k] += 6
+    values[300:330] = [20.7] * 30
+    rows = [(k, "v", "s", T0 + dt.timedelta(hours=9 * k + k % 3), v, "x", 1) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {60, 61, 200, *range(300, 330)}
+    for piece in (200_000, 25):
+        assert {r["reading_id"] for r in flag_spikes(df, piece=piece).where("kind <> 'jump'").collect()} == want
 
 
 def test_empty(spark):
     assert flag_spikes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_spikes_of_any_length(spark, monkeypatch):
-    import brookmill.operators.spikes as m
-
-    for chunk, halo in ((m.CHUNK, m.HALO), (600, 60)):
-        monkeypatch.setattr(m, "CHUNK", chunk)
-        monkeypatch.setattr(m, "HALO", halo)
+def test_spikes_of_any_length(spark):
+    for piece in (200_000, 100):
         s = {f"s{k}": noisy(120, 100 + k) for k in range(6)} | {"up": noisy(900, 110), "near": noisy(200, 111), "shift": noisy(80, 112) + noisy(80, 113, 28.0)}
         want = set()
         for low, n, by in ((20, 4, 6), (60, 5, -7), (100, 8, 6), (150, 40, -8), (560, 120, 9)):
@@ -90,7 +97,7 @@ def test_spikes_of_any_length(spark, monkeypatch):
         s["brake"] = noisy(30, 114) + [20 - 1.5 * k for k in range(8)] + noisy(12, 115, 8.0) + [8 + 1.5 * k for k in range(8)] + noisy(30, 116)
         df, rows = table(spark, s)
         named = {r[0]: (r[2], int((r[3] - T0).total_seconds())) for r in rows}
-        assert {named[r["reading_id"]] for r in flag_spikes(df).where("kind = 'spike'").collect()} == want
+        assert {named[r["reading_id"]] for r in flag_spikes(df, piece=piece).where("kind = 'spike'").collect()} == want
 
 
 def test_a_step_that_is_not_taken_back_is_a_jump(spark):
