@@ -61,3 +61,36 @@ def test_series_of_clips(spark):
 
 def test_empty(spark):
     assert regular_grid(spark.createDataFrame([], R), spark.createDataFrame([], S)).count() == 0
+
+
+def test_long_gaps_are_nearer_than_interpolation(spark):
+    r = np.random.default_rng(1)
+    n, sources = 192, 40
+    shared = np.stack([np.sin(np.arange(n) / 7.0), np.cumsum(r.normal(size=n)) / 4])
+    truth = r.normal(size=(sources, 2)) @ shared + r.uniform(5, 20, size=(sources, 1)) + r.normal(scale=0.02, size=(sources, n))
+    rows, series, gap = [], [], {}
+    for k in range(sources):
+        series.append((f"s{k}", T0, 100, n))
+        low = int(r.integers(10, n - 50))
+        for i in range(n):
+            if low <= i < low + 40:
+                gap[k, i] = low
+            else:
+                rows.append((f"s{k}", T0 + dt.timedelta(milliseconds=100 * i), float(truth[k, i]), 0.0))
+    got = {(int(x["timeseries_path"][1:]), x["step"]): x for x in regular_grid(spark.createDataFrame(rows, R), spark.createDataFrame(series, S)).collect()}
+    assert all(got[c]["status"] == "filled" for c in gap)
+    ours = np.array([got[c]["value"] - truth[c] for c in gap])
+    line = np.array([np.interp(i, [low - 1, low + 40], [truth[k, low - 1], truth[k, low + 40]]) - truth[k, i] for (k, i), low in gap.items()])
+    assert np.sqrt(np.mean(ours**2)) < 0.5 * np.sqrt(np.mean(line**2))
+
+
+def test_factors_that_do_not_hold_are_not_used(spark):
+    r = np.random.default_rng(2)
+    rows, series = [], []
+    for k in range(20):
+        series.append((f"s{k}", T0, 100, 96))
+        rows += [(f"s{k}", T0 + dt.timedelta(milliseconds=100 * i), float(v), 0.0) for i, v in enumerate(np.cumsum(r.normal(size=96))) if not 40 <= i < 80 and i % 9 != 4]
+    got = {(x["timeseries_path"], x["step"]): x for x in regular_grid(spark.createDataFrame(rows, R), spark.createDataFrame(series, S)).collect()}
+    assert all(got[f"s{k}", 60]["status"] == "unsupported" and got[f"s{k}", 60]["value"] is None and got[f"s{k}", 42]["status"] == "filled" for k in range(20))
+    a, b, c = (got["s3", i]["value"] for i in (12, 13, 14))
+    assert abs(b - (a + c) / 2) < 1e-9
