@@ -34,7 +34,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return load_records(table(spark, d, "raw_rows")).where("reason is null").drop("reason", "detail", "payload")
+    return load_records(table(spark, d, "raw_rows")).where("reason is null").drop("reason")
 
 
 QUERIES = {"p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_grid": p3_grid, "p5_found": p5_found, "p5_loaded": p5_loaded}

@@ -24,13 +24,15 @@ LOADED = (
     "n_steps bigint, n_channels bigint, reason string, detail string, payload string"
 )
 
+#: A field as RFC 4180 has it; Arrow's own parser forgives quotes in the wrong place, so they are judged first, a column at a time.
 _FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^"{d}\r\n]*)'
-_QUOTED = {d: re.compile(f"{_FIELD.format(d=d)}(?:{d}{_FIELD.format(d=d)})*(?:\r\n|\n)?") for d in DELIMITERS.values()}
+_QUOTED = {d: f"^{_FIELD.format(d=d)}(?:{d}{_FIELD.format(d=d)})*(?:\\r\\n|\\n)?$" for d in DELIMITERS.values()}
 _TAG = re.compile(r"</?timeseries>")
 _DATA = re.compile(r"^[0-9.]+:[^\S\n]*(\S.*)$", re.M)
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
-_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
-_COUNT = re.compile(r"[0-9]*[1-9][0-9]*")
+_CONTROL = r"[\x00-\x1f\x7f\x{80}-\x{9f}]"
+_COUNT = r"^[0-9]*[1-9][0-9]*$"
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def _no_constant(name: str) -> None:
@@ -52,7 +54,10 @@ def parse_json(text: str | None) -> tuple[dict[str, object] | None, str | None]:
         return None, QUOTING
     if not isinstance(found, dict):
         return None, QUOTING
-    return (None, COLUMNS) if set(found) != set(FIELDS) or repeated[-1] else (found, None)
+    if set(found) != set(FIELDS) or repeated[-1]:
+        return None, COLUMNS
+    # half a surrogate pair is well-formed JSON but no text: it becomes the replacement character
+    return {k: _SURROGATE.sub("\ufffd", v) if isinstance(v, str) else v for k, v in found.items()}, None
 
 
 def bad_prompt(prompt: object) -> bool:
@@ -74,53 +79,63 @@ def bad_prompt(prompt: object) -> bool:
     return inside
 
 
-def _labels(cols: dict[str, list], is_json: list[bool]) -> list[str | None]:
-    """For each record the first field whose value is bad, or None. Cells are checked a column at a time."""
-    n = len(is_json)
-    bad: list[str | None] = [None] * n
-    ident = pa.array([v if isinstance(v, str) else None for v in cols["id"]], pa.string())
-    blank = pc.fill_null(pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(ident)), 0), True).to_pylist()
-    task = pa.array([v if isinstance(v, str) else None for v in cols["task"]], pa.string())
-    known = pc.is_in(task, value_set=pa.array(TASKS)).to_pylist()
-    for i in range(n):
-        path, j = cols["timeseries_path"][i], is_json[i]
-        if blank[i]:
-            bad[i] = "id"
-        elif not known[i]:
-            bad[i] = "task"
-        elif path is not None and (path != "" or j) and not (isinstance(path, str) and path.endswith(".csv") and not _CONTROL.search(path)):
-            bad[i] = "timeseries_path"
-        elif bad_prompt(cols["prompt"][i]):
-            bad[i] = "prompt"
-        else:
-            for c in ("n_steps", "n_channels"):
-                v = cols[c][i]
-                ok = isinstance(v, int) and not isinstance(v, bool) and v > 0 if j else isinstance(v, str) and bool(_COUNT.fullmatch(v))
-                if not ok:
-                    bad[i] = c
-                    break
-    return bad
+def _texts(values: list) -> pa.Array:
+    return pa.array([v if isinstance(v, str) else None for v in values], pa.string())
+
+
+def _yes(mask: pa.Array) -> pa.Array:
+    return pc.fill_null(mask, False)
+
 
+def _count(values: list, json_: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(good, value, beyond): which cells are counts, their BIGINT values, and which of them are beyond a BIGINT."""
+    text = _texts(values)
+    digits = pc.and_(pc.invert(json_), _yes(pc.match_substring_regex(text, _COUNT)))
+    number = pa.array([v if isinstance(v, int) and not isinstance(v, bool) and v > 0 else None for v in values], pa.decimal256(76, 0)) if all(not isinstance(v, int) or abs(v) < 10**70 for v in values) else None
+    if number is None:  # a JSON integer of more than 70 digits
+        number = pa.array([min(v, 10**70) if isinstance(v, int) and not isinstance(v, bool) and v > 0 else None for v in values], pa.decimal256(76, 0))
+    good = pc.or_(digits, pc.and_(json_, pc.is_valid(number)))
+    bare = pc.if_else(digits, pc.utf8_ltrim(text, characters="0"), None)
+    # what has at most 19 digits is compared as a number
+    parsed = pc.cast(pc.if_else(pc.less_equal(pc.utf8_length(bare), 19), bare, None), pa.decimal256(76, 0))
+    any_ = pc.coalesce(pc.if_else(json_, number, None), parsed)
+    fits = _yes(pc.less_equal(any_, pa.scalar(2**63 - 1, pa.decimal256(76, 0))))
+    return good, pc.cast(pc.if_else(fits, any_, None), pa.int64()), pc.and_(good, pc.invert(fits))
 
-def _bigint(v: str | int | None) -> int | None:
-    """The number of a count that passed as one, or None beyond a BIGINT; leading zeros don't count."""
-    if isinstance(v, str):
-        v = v.lstrip("0")
-        v = int(v) if len(v) < 20 else None
-    return v if v is not None and v < 1 << 63 else None
+
+def _labels(cols: dict[str, list], is_json: list[bool]) -> tuple[list[str | None], dict[str, pa.Array], list[str | None]]:
+    """For each record the first field whose value is bad, or None; the typed counts; and the first count beyond a BIGINT.
+
+    Cells are read as texts and judged and cast a column at a time; only prompts with series tags are read one by one.
+    """
+    json_ = pa.array(is_json, pa.bool_())
+    ident, task, path, prompt = (_texts(cols[c]) for c in FIELDS[:4])
+    full = lambda t: _yes(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(t)), 0))
+    none = pa.array([v is None for v in cols["timeseries_path"]], pa.bool_())
+    empty = pc.or_(none, pc.and_(pc.invert(json_), _yes(pc.equal(path, ""))))
+    named = pc.and_(_yes(pc.ends_with(path, ".csv")), pc.invert(_yes(pc.match_substring_regex(path, _CONTROL))))
+    tagged = _yes(pc.match_substring(prompt, "timeseries>")).to_pylist()
+    said = pa.array([not t or not bad_prompt(p) for t, p in zip(tagged, cols["prompt"])], pa.bool_())
+    counts = {c: _count(cols[c], json_) for c in ("n_steps", "n_channels")}
+    good = {
+        "id": full(ident), "task": pc.is_in(task, value_set=pa.array(TASKS)), "timeseries_path": pc.or_(empty, named), "prompt": pc.and_(full(prompt), said),
+        **{c: x[0] for c, x in counts.items()}}
+    first = lambda ok: pc.coalesce(*(pc.if_else(m, None, pa.scalar(f, pa.string())) for f, m in ok.items())).to_pylist() if is_json else []
+    return first(good), {c: x[1] for c, x in counts.items()}, first({c: pc.invert(x[2]) for c, x in counts.items()})
 
 
 def read_delimited(payloads: list[str], delimiter: str) -> tuple[dict[int, list[str]], dict[int, str]]:
     """Fields of each well-quoted record by its place, and the structural rejects by theirs.
 
-    Quoting is judged record by record, so that one open quote can't swallow its neighbours. What is well quoted goes
+    Quoting is judged within records, so that one open quote can't swallow its neighbours. What is well quoted goes
     through one Arrow CSV read with every field a string; rows of another width come back through its callback.
     """
     good, rejects, lines = {}, {}, []
+    quoted = pc.match_substring_regex(pa.array(payloads, pa.string()), _QUOTED[delimiter]).to_pylist()
     for i, text in enumerate(payloads):
         if text is None:
             rejects[i] = COLUMNS
-        elif not _QUOTED[delimiter].fullmatch(text):
+        elif not quoted[i]:
             rejects[i] = QUOTING
         else:
             lines.append(f"{i}{delimiter}{text.rstrip(chr(13) + chr(10)) if text.endswith(chr(10)) else text}")
@@ -148,8 +163,8 @@ def load_records(raw: DataFrame) -> DataFrame:
     """Every record of ``raw`` (raw_id, file_name, fmt, payload) once: typed where ``reason`` is null, else a reject.
 
     ``reason`` is the first of quoting, columns and value that applies, ``detail`` the field of a bad value. A reject
-    keeps its payload and no fields; a loaded row has fields and no payload. An empty path is null. A count beyond a
-    BIGINT loads as null. A null payload has no fields (columns; for jsonl, quoting); a format that isn't known is
+    keeps its payload and no fields; a loaded row has fields and no payload. An empty path is null. A row with a count
+    beyond a BIGINT loads with null there, ``detail`` naming the field and the payload kept. A null payload has no fields (columns; for jsonl, quoting); a format that isn't known is
     ``columns``. Extra columns of ``raw`` are not carried. No shuffle: records are judged where they are read.
     """
 
@@ -177,21 +192,23 @@ def load_records(raw: DataFrame) -> DataFrame:
             at = [i for i in range(n) if reason[i] is None]
             cols = {f: [fields[i][k] for i in at] for k, f in enumerate(FIELDS)}
             detail: list[str | None] = [None] * n
-            for i, d in zip(at, _labels(cols, [got["fmt"][i] == "jsonl" for i in at])):
+            bad, counts, beyond = _labels(cols, [got["fmt"][i] == "jsonl" for i in at])
+            for i, d, more in zip(at, bad, beyond):
                 if d:
                     reason[i], detail[i], fields[i] = VALUE, d, None
-                elif reason[i]:
-                    fields[i] = None
+                else:
+                    detail[i] = more
+            loaded = {i: k for k, i in enumerate(at) if fields[i] is not None}
             out: dict[str, list] = {c: got[c] for c in ("raw_id", "file_name", "fmt")}
             for k, f in enumerate(FIELDS):
-                col = [row[k] if row is not None else None for row in (fields[i] if reason[i] is None else None for i in range(n))]
-                if f in ("n_steps", "n_channels"):
-                    col = [_bigint(v) for v in col]
+                if f in counts:
+                    known = counts[f].to_pylist()
+                    out[f] = [known[loaded[i]] if i in loaded else None for i in range(n)]
                 else:
-                    col = [(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) if v is not None and not (f == "timeseries_path" and v == "") else None for v in col]
-                out[f] = col
+                    col = [fields[i][k] if i in loaded else None for i in range(n)]
+                    out[f] = [(v if isinstance(v, str) else json.dumps(v)) if v is not None and not (f == "timeseries_path" and v == "") else None for v in col]
             out["reason"], out["detail"] = reason, detail
-            out["payload"] = [p if r else None for p, r in zip(got["payload"], reason)]
+            out["payload"] = [p if r or d else None for p, r, d in zip(got["payload"], reason, detail)]
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return raw.select("raw_id", "file_name", "fmt", "payload").mapInArrow(load, LOADED)

@@ -89,3 +89,10 @@ def test_counts_up_to_a_bigint_are_kept(spark):
     rows = [(k, "f", f, as_json(n_steps=v) if f == "jsonl" else line(with_(5, v), "," if f == "csv" else "\t")) for k, (f, v, _) in enumerate(counts)]
     got = {r["raw_id"]: r for r in load_records(spark.createDataFrame(rows, "raw_id bigint, file_name string, fmt string, payload string")).collect()}
     assert [(got[k]["reason"], got[k]["n_steps"], got[k]["n_channels"]) for k in range(len(counts))] == [(None, want, 2) for *_, want in counts]
+
+
+def test_a_count_beyond_a_bigint_is_told(spark):
+    rows = [(0, "f", "csv", line(with_(6, str(2**63)))), (1, "f", "jsonl", as_json(n_steps=10**80)), (2, "f", "jsonl", as_json(n_steps=-(10**80))), (3, "f", "jsonl", as_json(prompt="\ud83d x", id="a\udc00"))]
+    got = [tuple(r) for r in load_records(spark.createDataFrame(rows, "raw_id bigint, file_name string, fmt string, payload string")).select("reason", "detail", "n_steps", "n_channels", "payload", "prompt", "id").orderBy("raw_id").collect()]
+    assert got[0][:4] == (None, "n_channels", 10, None) and got[0][4] == rows[0][3] and got[1][:4] == (None, "n_steps", None, 2) and got[1][4] == rows[1][3]
+    assert got[2][:2] == ("value", "n_steps") and got[3][0] is None and got[3][5:] == ("\ufffd x", "a\ufffd") and got[3][4] is None
