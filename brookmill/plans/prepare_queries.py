@@ -415,6 +415,19 @@ SQL = {
         select row_no, step::int as step, t, trim(split_part(kv, '=', 1)) as channel,
           case when regexp_matches(trim(substr(kv, instr(kv, '=') + 1)), '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') then try_cast(trim(substr(kv, instr(kv, '=') + 1)) as double) end as value
         from pairs where contains(kv, '=')""",
+    "thin_prompt": r"""
+        with b as (select row_no, prompt, instr(prompt, '<timeseries>') + 11 as o from manifest),
+        c as (select *, substr(prompt, o + 1) as rest from b),
+        d as (select *, instr(rest, '</timeseries>') as e from c),
+        l as (select *, regexp_split_to_array(regexp_replace(substr(rest, 1, e - 1), '(\r\n|[\n\r])$', ''), '\r\n|[\n\r]') as lines from d where o > 11 and e > 0),
+        n as (select *, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '^\s*[0-9.]+\s*:\s*\S')) as ix from l),
+        k as (select *, case when len(ix) > 3 then list_transform([0, round_even((len(ix) - 1) / 2.0, 0)::bigint, len(ix) - 1], lambda i: ix[i + 1]) else ix end as keep from n),
+        t as (
+          select row_no, o, e, prompt, rest, list_transform(list_filter(range(1, len(lines) + 1), lambda i: not list_contains(ix, i) or list_contains(keep, i)), lambda i:
+            case when list_contains(ix, i) then list_reduce(list_transform(range(1, len(regexp_split_to_array(lines[i], '-?[0-9]+\.[0-9]+')) + 1), lambda j:
+              regexp_split_to_array(lines[i], '-?[0-9]+\.[0-9]+')[j] || coalesce(format('{:.1f}', regexp_extract_all(lines[i], '-?[0-9]+\.[0-9]+')[j]::double), '')), lambda x, y: x || y)
+            else lines[i] end) as kept from k)
+        select row_no, coalesce(substr(t.prompt, 1, o) || array_to_string(kept, chr(10)) || substr(rest, e), m.prompt) as prompt from manifest m left join t using (row_no)""",
     "picks": """with x as (select p_partkey, (p_partkey % 97 + 2) as n, (p_size % 12 + 1) as m from part), y as (select p_partkey, n, m, unnest(range(0, m)) as i from x)
         select distinct p_partkey, (case when m = 1 then 0 when i = m - 1 then n - 1 else round_even(i * ((n - 1)::double / (m - 1)), 0) end)::int as pick from y""",
     "explode_channels": """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brookmill.functions.forecast import forecast_block, forecast_text, number_text, parse_forecast
 from brookmill.functions.labels import parse_label
-from brookmill.functions.tsblock import linspace_picks, parse_block, strip_block, thin_text
+from brookmill.functions.tsblock import linspace_picks, parse_block, strip_block, thin_block
 
 LETTERS, NUMBERS = list("ABCD"), [str(k) for k in range(1, 41)]
 
@@ -81,9 +81,24 @@ def test_blocks(spark):
     got = {(r["step"], r["channel"]): r["value"] for r in parse_block(df, ["k"], "p").collect()}
     assert got == {(0, "vEgo"): 6.517, (0, "aEgo"): None, (1, "vEgo"): 1.578, (1, "b"): -0.55, (2, "vEgo"): None}
     assert column(spark, [f"p {BLOCK} q {BLOCK}", "none", None], strip_block) == ["p  q ", "none", None]
-    thin = thin_text(f"p {BLOCK}", 2, 1)
-    assert "25.5: vEgo=6.5, aEgo=null" in thin and "30.0" not in thin and "31: vEgo=" in thin and "format:" in thin
-    assert thin_text(f"p {BLOCK}", 0, 0).count("vEgo=") == 4 and thin_text(None, 2, 1) is None and thin_text("x", 2, 1) == "x"
+    thin = column(spark, [f"p {BLOCK} q {BLOCK}", None, "x", "a </timeseries> <timeseries> 1: b=2.55"], lambda c: thin_block(c, 2, 1))
+    assert thin[0] == "p <timeseries>\nformat:\nt(s): vEgo=, aEgo=\n\n25.5: vEgo=6.5, aEgo=null\n31: vEgo=</timeseries> q " + BLOCK and thin[1:] == [None, "x", "a </timeseries> <timeseries> 1: b=2.55"]
+    assert column(spark, [f"p {BLOCK}"], lambda c: thin_block(c, 0, 0))[0].count("vEgo=") == 4
+    # exact halves go to the even digit, others to the nearer one, as they are stored
+    one = "<timeseries>1.05: a=0.25, b=0.35, c=-2.675, d=7\r\n\r\n2: e=1e5\r\n</timeseries>"
+    assert column(spark, [one, "<timeseries></timeseries>", "<timeseries>\n</timeseries>"], lambda c: thin_block(c, 5, 1)) == [
+        "<timeseries>1.1: a=0.2, b=0.3, c=-2.7, d=7\n\n2: e=1e5</timeseries>", "<timeseries></timeseries>", "<timeseries></timeseries>"]
+
+
+def test_strict_blocks_raise(spark):
+    for text in ("none", "<timeseries>x</timeseries>", "<timeseries>\n1: a=1..2\n</timeseries>"):
+        with pytest.raises(Exception, match="no series block|not a number"):
+            parse_block(spark.createDataFrame([(1, text)], "k int, p string"), ["k"], "p", strict=True).collect()
+    assert parse_block(spark.createDataFrame([(1, BLOCK)], "k int, p string"), ["k"], "p", strict=True).count() == 5
+
+
+def test_labels_of_any_script(spark):
+    assert column(spark, ["ÄPFEL sind da", "да", "ДА!"], lambda c: parse_label(c, ["äpfel", "Да"])) == ["äpfel", "Да", "Да"]
 
 
 def test_picks(spark):
