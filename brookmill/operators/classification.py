@@ -36,6 +36,14 @@ def confusion(df: DataFrame, labels: list[str], by: list[str], truth: str = "gt"
     return grid.join(counts, same, "left").select(*(grid[b] for b in by), grid["gt"], grid["pred"], F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _join_null_safe(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on ``by`` with null equal to null: a run without a name is a run too."""
+    other = b.withColumnsRenamed({c: f"_{c}" for c in by})
+    if not by:
+        return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return a.join(other, [a[c].eqNullSafe(other[f"_{c}"]) for c in by]).drop(*(f"_{c}" for c in by))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -45,7 +53,7 @@ def class_report(matrix: DataFrame, by: list[str]) -> DataFrame:
     rows = matrix.where("gt = pred or pred is null or gt <> pred")
     of_gt = rows.groupBy(*by, F.col("gt").alias("label")).agg(F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("support"))
     of_pred = rows.where("pred is not null").groupBy(*by, F.col("pred").alias("label")).agg(F.sum("n").alias("guessed"))
-    x = of_gt.join(of_pred, [*by, "label"])
+    x = _join_null_safe(of_gt, of_pred, [*by, "label"])
     precision, recall = _ratio(F.col("tp"), F.col("guessed")), _ratio(F.col("tp"), F.col("support"))
     return x.select(
         *by, "label", "tp", (F.col("guessed") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support",
@@ -65,7 +73,7 @@ def overall(df: DataFrame, report: DataFrame, labels: list[str], by: list[str],
     n = float(max(1, len(labels)))
     means = report.groupBy(*by).agg(
         (F.sum("f1") / n).alias("macro_f1"), _ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"), (F.sum("recall") / n).alias("uar"))
-    return base.join(means, by).withColumn("accuracy", _ratio(F.col("correct"), F.greatest(F.lit(1), F.col("total"))))
+    return _join_null_safe(base, means, by).withColumn("accuracy", _ratio(F.col("correct"), F.greatest(F.lit(1), F.col("total"))))
 
 
 def per_option(df: DataFrame, by: list[str], truth: str = "gt", predicted: str = "pred") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VIDEO_META = "struct<width:int,height:int,source_fps:double,nb_frames:int,duration:double>"
@@ -22,9 +24,10 @@ PREDICTION = "id string, ground_truth string, prediction string, raw string, fai
 
 
 def typed_samples(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Sample rows from JSON objects in a text column: declared fields typed, image lists made lists, the names of the rest in ``extra_keys``.
+    """Sample rows from JSON objects in a text column: declared fields typed, image lists made lists, all others in ``extra``.
 
-    Fields of another type than declared are null. Other columns are kept.
+    ``extra`` is a JSON object of the fields that aren't declared, values as they were, ``extra_keys`` their names; both
+    are null without any. Fields of another type than declared are null. Other columns are kept.
     """
     v = F.try_parse_json(value)
     df = lines.withColumn("_v", v)
@@ -33,12 +36,41 @@ def typed_samples(lines: DataFrame, value: str = "value") -> DataFrame:
     cols["image_path"] = F.coalesce(F.try_variant_get("_v", "$.image_path", "array<string>"), F.array_compact(F.array(one_image)))
     cols["image_meta"] = F.coalesce(F.try_variant_get("_v", "$.image_meta", f"array<{IMAGE_META}>"), F.array_compact(F.array(F.try_variant_get("_v", "$.image_meta", IMAGE_META))))
     keys = F.array_except(F.coalesce(F.json_object_keys(value), F.array()), F.array(*(F.lit(k) for k in (*FIELDS, "image_path", "image_meta"))))
-    extra = F.when(F.size(keys) > 0, F.array_join(keys, ","))
-    return df.withColumns({**cols, "extra_keys": extra}).drop("_v")
+    some = F.size(keys) > 0
+    rest = F.map_filter(F.try_variant_get("_v", "$", "map<string,variant>"), lambda k, _: F.array_contains(keys, k))
+    return df.withColumns({**cols, "extra_keys": F.when(some, F.array_join(keys, ",")), "extra": F.when(some, F.to_json(rest))}).drop("_v")
+
+
+def sample_lines(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(value): one JSON object a sample, its declared fields that aren't null and then those of ``extra``, nothing escaped that needn't be."""
+    names = fields or [c for c in (*FIELDS, "image_path", "image_meta") if c in df.columns]
+    line = F.to_json(F.struct(*names))
+    if "extra" in df.columns:
+        inner = F.regexp_replace(F.col("extra"), r"^\s*\{|\}\s*$", "")
+        line = F.when(F.btrim(inner) == "", line).when(inner.isNotNull(), F.concat(F.regexp_replace(line, r"\}$", ""), F.when(line == "{}", "").otherwise(","), inner, F.lit("}"))).otherwise(line)
+    return df.select(line.alias("value"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line_no BIGINT): the lines of a file, or of each file of a folder, numbered from 1.
+
+    A split of a file is one run of rows of one task. Where it begins, and how many lines the splits before it have, is
+    counted first: one row a split, however large the file is.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    splits = lines.groupBy("_f", "_b").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_f").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_f", "_b", "_first", before.alias("_before"))
+    return lines.join(splits, ["_f", "_b"]).select("value", (F.col("_before") + F.col("_m") - F.col("_first") + 1).alias("line_no"))
+
+
+def first_lines(df: DataFrame, n: int | None) -> DataFrame:
+    """The rows of the first ``n`` lines, the same ones every time; all without ``n``."""
+    return df if n is None else df.where(F.col("line_no") <= n)
 
 
 def read_samples(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
-    """JSON-line samples of one or more files, with source_id, source_name and the file's own line text.
+    """JSON-line samples of one or more files, with source_id, source_name, line_no and the file's own line text.
 
     Blank lines are skipped. A line that isn't a JSON object raises if ``strict``, else it is left out. The source's
     name is the file name up to its first dot; sources keep the order given. An empty list raises.
@@ -48,7 +80,7 @@ def read_samples(spark: SparkSession, paths: str | list[str], strict: bool = Tru
         raise ValueError("no path given")
     parts = []
     for k, path in enumerate(paths):
-        lines = spark.read.text(path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
+        lines = numbered_lines(spark, path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
         name = os.path.basename(path.rstrip("/")).split(".")[0]
         parts.append(lines.withColumns({"source_id": F.lit(k), "source_name": F.lit(name)}))
     lines = reduce(DataFrame.unionByName, parts)
@@ -70,17 +102,56 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return read.where("_bad is null").drop("_bad")
 
 
-def write_json_atomically(df: DataFrame, path: str) -> None:
-    """JSON lines in ``path``, in place only once all are written; ``df`` may read ``path`` itself."""
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-    df.write.option("ignoreNullFields", "false").json(staging)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    new, old = hadoop.Path(staging), hadoop.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{staging} could not be moved to {path}")
+def _move(spark: SparkSession, a: str, b: str) -> None:
+    p, q = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (a, b))
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p, q):
+        raise OSError(f"{a} could not be moved to {b}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Has ``write`` fill a staging folder and puts it in the place of ``path``, which ``write`` may read.
+
+    The old folder is moved aside, not deleted, until the new one is in place: after a crash in between, ``path.old`` has
+    it, and the next call puts it back first. A write that fails leaves ``path`` as it was and no staging folder.
+    """
+    target = path.rstrip("/")
+    staging, aside = f"{target}.{uuid.uuid4().hex}.tmp", f"{target}.old"
+    if _exists(spark, aside):
+        if not _exists(spark, target):
+            _move(spark, aside, target)
+        else:
+            _delete(spark, aside)
+    try:
+        write(staging)
+    except BaseException:
+        _delete(spark, staging)
+        raise
+    if _exists(spark, target):
+        _move(spark, target, aside)
+    _move(spark, staging, target)
+    _delete(spark, aside)
+
+
+def write_json_atomically(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """JSON lines in ``path``, in place only once all are written; with ``order`` sorted by it over all files."""
+    rows = df.orderBy(*order) if order else df
+    replaced(df.sparkSession, path, lambda to: rows.write.option("ignoreNullFields", "false").json(to))
+
+
+def write_samples(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Samples as JSON lines with all their fields (sample_lines), replaced as a whole; with ``order`` sorted by it."""
+    lines = sample_lines(df.orderBy(*order) if order else df)
+    replaced(df.sparkSession, path, lines.write.text)
 
 
 def append_once(df: DataFrame, path: str, chunk: str) -> None:
@@ -89,14 +160,14 @@ def append_once(df: DataFrame, path: str, chunk: str) -> None:
 
 
 def dataset_file(names: list[str], name: str, variants: tuple[str, ...] = ("percha",), suffix: str = ".jsonl") -> str:
-    """Of the files of a folder the one for a dataset: the untagged one, else the only one with a tag, else the untagged name.
+    """Of the files of a folder the one for a dataset: the untagged one, else the first one with a tag, else the untagged name.
 
     A tag is one part between dots that is no variant.
     """
     if name + suffix in names:
         return name + suffix
     tagged = sorted(n for n in names if (m := re.fullmatch(re.escape(name) + r"\.([^.]+)" + re.escape(suffix), n)) and m[1] not in variants)
-    return tagged[0] if len(tagged) == 1 else name + suffix
+    return tagged[0] if tagged else name + suffix
 
 
 def dataset_stem(path: str, variants: tuple[str, ...] = ("percha",), suffix: str = ".jsonl") -> str:

@@ -14,10 +14,34 @@ def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     text = spark.read.text(f"{root.rstrip(chr(47))}/*/*/metrics.json", wholetext=True)
     path = F.split(F.col("_metadata.file_path"), "/")
     v = F.try_parse_json("value")
-    task = F.coalesce(F.try_variant_get(v, "$.task", "string"), F.lit("classification"))
+    task = F.coalesce(F.nullif(F.try_variant_get(v, "$.task", "string"), F.lit("")), F.lit("classification"))
     return text.select(F.try_element_at(path, F.lit(-3)).alias("ablation"), F.try_element_at(path, F.lit(-2)).alias("dataset"), task.alias("task"), v.alias("metrics"))
 
 
+def metric(name: str, default: float | None = None, metrics: str = "metrics") -> Column:
+    """One measure of a run's metrics, or ``default`` where the file or the key is missing or holds no number."""
+    return F.coalesce(F.try_variant_get(metrics, f"$.{name}", "double"), F.lit(default).cast("double"))
+
+
+def default_metrics(runs: DataFrame) -> DataFrame:
+    """(dataset, task, metric, pos): the measures that each dataset shows by default, by its task (task_of_dataset)."""
+    rows = [(t, m, k) for t, ms in DEFAULTS.items() for k, m in enumerate(ms)]
+    shown_ = runs.sparkSession.createDataFrame(rows, "task string, metric string, pos int")
+    kind = F.when(F.col("task") == "prediction", F.col("task")).otherwise("classification")
+    return runs.select("dataset", kind.alias("task")).join(F.broadcast(shown_), "task").select("dataset", "task", "metric", "pos")
+
+
+def named_sources(arguments: list[str]) -> dict[str, str]:
+    """``name:path`` arguments, cut at the first colon; one without a colon, or without a name, raises."""
+    found = {}
+    for a in arguments:
+        name, colon, path = a.partition(":")
+        if not (name and colon and path):
+            raise ValueError(f"{a} is not name:path")
+        found[name] = path
+    return found
+
+
 def task_of_dataset(runs: DataFrame) -> DataFrame:
     """The task that the first run of a dataset, by name, has."""
     return runs.groupBy("dataset").agg(F.min_by("task", "ablation").alias("task"))

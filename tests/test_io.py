@@ -37,9 +37,37 @@ def test_predictions_and_atomic_rewrite(spark, tmp_path):
     assert sorted(str(r["id"]) for r in spark.read.schema("id string").json(out).collect()) == ["A", "None"]
 
 
+def test_extra_fields_survive_and_lines_are_numbered(spark, tmp_path):
+    f = tmp_path / "big.jsonl"
+    f.write_text("".join(f'{{"id":"i{k}","answer":"é","more":{{"a":[{k},null]}},"n":{k}.5}}\n' + ("\n" if k % 7 == 0 else "") for k in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    rows = M.read_samples(spark, str(f))
+    first = [(r["line_no"], r["id"]) for r in M.first_lines(rows, 9).orderBy("line_no").collect()]
+    every = {r["line_no"]: r["id"] for r in rows.collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert first == [(1, "i0"), (3, "i1"), (4, "i2"), (5, "i3"), (6, "i4"), (7, "i5"), (8, "i6"), (9, "i7")] and len(every) == 400 and every[400 + 57] == "i399"
+    out = str(tmp_path / "out")
+    M.write_samples(rows, out, ["line_no"])
+    back = [json.loads(x["value"]) for x in spark.read.text(out).collect()]
+    assert sorted(b["n"] for b in back) == [k + 0.5 for k in range(400)] and all(b["more"] == {"a": [int(b["n"]), None]} and b["answer"] == "é" for b in back)
+    M.write_samples(M.read_samples(spark, out), out)
+    assert M.read_samples(spark, out).where("extra_keys = 'more,n'").count() == 400
+
+
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
+    out = tmp_path / "out"
+    M.write_json_atomically(spark.range(3), str(out))
+    with pytest.raises(Exception, match="boom"):
+        M.write_json_atomically(spark.range(3).select(F.raise_error(F.lit("boom")).alias("x")), str(out))
+    assert spark.read.json(str(out)).count() == 3 and [x.name for x in tmp_path.iterdir()] == ["out"]
+    out.rename(tmp_path / "out.old")  # a crash between the two moves
+    M.write_json_atomically(spark.range(5), str(out))
+    assert spark.read.json(str(out)).count() == 5 and [x.name for x in tmp_path.iterdir()] == ["out"]
+
+
 def test_file_names():
     names = ["a.jsonl", "a.x.jsonl", "b.x.jsonl", "b.percha.jsonl", "c.x.jsonl", "c.y.jsonl"]
-    assert [M.dataset_file(names, n) for n in "abcd"] == ["a.jsonl", "b.x.jsonl", "c.jsonl", "d.jsonl"]
+    assert [M.dataset_file(names, n) for n in "abcd"] == ["a.jsonl", "b.x.jsonl", "c.x.jsonl", "d.jsonl"]
     assert [M.dataset_stem(p) for p in ("d/a.jsonl", "d/a.x.jsonl", "a.percha.jsonl")] == ["a", "a", "a.percha"]
     assert M.derived_path("d/a.x.jsonl") == "d/a.percha.x.jsonl" and M.derived_path("a.jsonl") == "a.percha.jsonl"
 
