@@ -53,3 +53,19 @@ def forecast_text(parsed: Column, channel: Column) -> Column:
     """One channel of a parsed forecast as a block of ``(label: number)`` lines, in order; null for no rows."""
     lines = F.transform(parsed, lambda r: F.concat(F.lit("("), r["label"], F.lit(": "), number_text(F.get(r["values"], channel)), F.lit(")")))
     return F.concat(F.lit("<forecast>\n"), F.array_join(lines, "\n"), F.lit("\n</forecast>"))
+
+
+def step_text(values: Column) -> Column:
+    """Numbers as a forecast block whose labels are the numbers of the steps, from 0; null for null."""
+    lines = F.transform(values, lambda v, i: F.concat(F.lit("("), i.cast("string"), F.lit(": "), number_text(v), F.lit(")")))
+    return F.when(values.isNotNull(), F.array_join(F.concat(F.array(F.lit("<forecast>")), lines, F.array(F.lit("</forecast>"))), "\n"))
+
+
+def reply_text(response: Column) -> Column:
+    """The text of a service's JSON reply: ``output_text`` unless empty, else the first non-empty ``text`` of its output's contents; null without any."""
+    v = F.try_parse_json(response)
+    whole = F.nullif(F.try_variant_get(v, "$.output_text", "string"), F.lit(""))
+    items = F.coalesce(F.try_variant_get(v, "$.output", "array<variant>"), F.array().cast("array<variant>"))
+    parts = F.flatten(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$.content", "array<variant>"), F.array().cast("array<variant>"))))
+    texts = F.filter(F.transform(parts, lambda c: F.try_variant_get(c, "$.text", "string")), lambda t: t.isNotNull() & (t != ""))
+    return F.coalesce(whole, F.try_element_at(texts, F.lit(1)))

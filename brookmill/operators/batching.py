@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brookmill.operators.normalize import resume
 from brookmill.operators.ordinals import ordinals, uniform
 from brookmill.session import SharedTable
 
@@ -65,3 +66,8 @@ def shard(df: DataFrame, ordinal: str, world: int, truncate_to: Column | None =
     """Adds ``rank`` and ``turn`` by striding over an ordinal; with ``truncate_to``, the number of rows, ranks get as many."""
     kept = df.where(F.col(ordinal) < F.floor(truncate_to / world) * world) if truncate_to is not None else df
     return kept.withColumns({"rank": (F.col(ordinal) % world).cast("int"), "turn": F.floor(F.col(ordinal) / world)})
+
+
+def plan_remaining(rows: DataFrame, done: DataFrame, key: str, item: str, length: str, task: str, max_tokens: int, retry_failed: bool = False, **plan: int) -> DataFrame:
+    """plan_batches of the rows that no record of ``done`` has finished (normalize.resume): a resumed run packs what is left."""
+    return plan_batches(resume(rows, done, key, retry_failed), item, length, task, max_tokens, **plan)

@@ -25,14 +25,17 @@ class LengthConfig:
     min_frames: int = 4
     max_frames: int = 80
     series_patch: int = 16
+    strict: bool = False
 
 
-def smart_resize(height: Column, width: Column, factor: int, low: int, high: int) -> tuple[Column, Column]:
+def smart_resize(height: Column, width: Column, factor: int, low: int, high: int, strict: bool = False) -> tuple[Column, Column]:
     """(height, width) rounded half-even to multiples of ``factor`` and scaled into the pixel bounds; null unless both are positive.
 
-    An aspect ratio over 200 gives null as well, where a row-wise program would raise.
+    An aspect ratio over 200 gives null as well, or raises if ``strict``.
     """
     h, w = height.cast("double"), width.cast("double")
+    if strict:
+        h = F.when((h > 0) & (w > 0) & (F.greatest(h, w) > 200 * F.least(h, w)), F.raise_error(F.lit("aspect ratio over 200")).cast("double")).otherwise(h)
     ok = (h > 0) & (w > 0) & (F.greatest(h, w) <= 200 * F.least(h, w))
     rh, rw = F.rint(h / factor) * factor, F.rint(w / factor) * factor
     shrink = F.sqrt(F.try_divide(h * w, F.lit(float(high))))
@@ -61,7 +64,7 @@ def video_tokens(meta: Column, c: LengthConfig = LengthConfig()) -> Column:
     n = meta["nb_frames"]
     t = c.temporal_patch
     frames = sampled_frames(n, F.coalesce(meta["source_fps"], F.lit(0.0)), c) if c.sample_frames else (F.ceil(n / F.lit(float(t))) * t).cast("bigint")
-    h, w = smart_resize(meta["height"], meta["width"], c.patch * c.merge, c.video_min_pixels, c.video_max_pixels)
+    h, w = smart_resize(meta["height"], meta["width"], c.patch * c.merge, c.video_min_pixels, c.video_max_pixels, c.strict)
     grid = F.floor(frames / t) * F.floor(h / c.patch) * F.floor(w / c.patch)
     return F.when(n > 0, F.coalesce(F.floor(grid / (c.merge * c.merge)), F.lit(0))).otherwise(0).cast("bigint")
 
@@ -70,7 +73,7 @@ def image_tokens(metas: Column, c: LengthConfig = LengthConfig()) -> Column:
     """Visual tokens of a list of image headers; malformed ones count nothing."""
 
     def one(m: Column) -> Column:
-        h, w = smart_resize(m["height"], m["width"], c.patch * c.merge, c.image_min_pixels, c.image_max_pixels)
+        h, w = smart_resize(m["height"], m["width"], c.patch * c.merge, c.image_min_pixels, c.image_max_pixels, c.strict)
         return F.coalesce(F.floor(F.floor(h / c.patch) * F.floor(w / c.patch) / (c.merge * c.merge)), F.lit(0)).cast("bigint")
 
     return F.coalesce(F.aggregate(metas, F.lit(0).cast("bigint"), lambda s, m: s + one(m)), F.lit(0).cast("bigint"))

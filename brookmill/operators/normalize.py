@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookmill.functions.forecast import forecast_text, parse_forecast
+
 
 def normalize_rows(df: DataFrame, line: str) -> DataFrame:
     """Adds ``id``, ``task``, ``renamed`` and ``task_added``, read from JSON objects in ``line``.
@@ -77,6 +79,36 @@ def explode_channels(rows: DataFrame, parsed: str, channels: str, ident: str = "
         "target": F.transform(p, lambda r: F.struct(r["pos"].alias("pos"), r["label"].alias("label"), F.get(r["values"], k).alias("value")))})
 
 
+def per_channel_rows(rows: DataFrame, channels: str, n_steps: str, folder: str = "") -> DataFrame:
+    """Forecasting samples as one row per channel, with the paths and answer of that channel; all others unchanged.
+
+    Adds to ``id`` ``__ch{c}``; timeseries_path and forecast_target_path are ``{folder}{id}__ch{c}.csv`` and
+    ``.target.csv``, ts_shape is (n_steps, 1), answer the channel's own forecast block, with channel_index and
+    channel_name. Fields that aren't named here pass through. ``channels`` and ``n_steps`` are the names of the history's
+    channels and its steps. A forecasting row that doesn't fit (explode_channels) raises.
+    """
+    is_forecast = F.coalesce(F.col("task") == "prediction", F.lit(False))
+    out = explode_channels(rows.where(is_forecast).withColumn("_parsed", parse_forecast(F.col("answer"))), "_parsed", channels)
+    stem = F.concat(F.lit(folder), F.col("id"))
+    out = out.withColumns({
+        "timeseries_path": F.concat(stem, F.lit(".csv")), "forecast_target_path": F.concat(stem, F.lit(".target.csv")),
+        "ts_shape": F.array(F.col(n_steps).cast("int"), F.lit(1)), "answer": forecast_text(F.col("_parsed"), F.col("channel_index"))})
+    both = out.drop("_parsed", "target").unionByName(rows.where(~is_forecast), allowMissingColumns=True)
+    return both.drop(channels, n_steps)
+
+
+def channel_targets(rows: DataFrame, channels: str) -> DataFrame:
+    """(id, step, channel_index, channel, value): the one-column target series of each channel of the forecasting rows."""
+    some = rows.where("task = 'prediction'").withColumn("_parsed", parse_forecast(F.col("answer")))
+    out = explode_channels(some, "_parsed", channels).select("id", "channel_name", F.explode("target").alias("t"))
+    return out.select("id", F.col("t.pos").alias("step"), F.lit(0).alias("channel_index"), F.col("channel_name").alias("channel"), F.col("t.value").alias("value"))
+
+
+def conversion_counts(before: DataFrame, after: DataFrame) -> tuple[int, int]:
+    """Rows in and rows out."""
+    return before.count(), after.count()
+
+
 def series_stats(long: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, mean, sigma) of a history: sigma is the root of the population variance plus 1e-6; null, NaN and infinite values are left out.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -39,13 +40,28 @@ class EchoScorer:
         return [f"the answer is {r['answer']}" for r in rows]
 
 
-BACKENDS: dict[str, Callable[..., Scorer]] = {"echo": EchoScorer}
+#: Scorers by name: what makes one, or where it is found, ``module:name``, imported when it is first asked for.
+BACKENDS: dict[str, Callable[..., Scorer] | str] = {"echo": EchoScorer}
+
+
+def register(name: str, maker: Callable[..., Scorer] | str) -> None:
+    """Adds a scorer; a name that is there already is replaced."""
+    BACKENDS[name] = maker
 
 
 def backend(name: str, **knobs: object) -> Scorer:
     if name not in BACKENDS:
         raise KeyError(f"{name} is none of {sorted(BACKENDS)}")
-    return BACKENDS[name](**knobs)
+    maker = BACKENDS[name]
+    if isinstance(maker, str):
+        module, _, attribute = maker.partition(":")
+        maker = BACKENDS[name] = getattr(importlib.import_module(module), attribute)
+    return maker(**knobs)
+
+
+def out_of_memory(error: BaseException) -> bool:
+    """Whether an error says that memory ran out, by its type or its text."""
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
 
 
 def _result(row: dict, raw: str | None, error: str | None) -> tuple:
@@ -56,11 +72,11 @@ def score_batch(scorer: Scorer, rows: list[dict]) -> list[tuple]:
     """Results of a batch. If memory runs out each row is tried alone; any other error fails the rows it hits."""
     try:
         return [_result(r, t, None) for r, t in zip(rows, scorer.generate(rows), strict=True)]
-    except MemoryError as e:
-        if len(rows) == 1:
-            return [_result(rows[0], None, str(e))]
-        return [x for r in rows for x in score_batch(scorer, [r])]
     except Exception as e:  # noqa: BLE001
+        if out_of_memory(e) and len(rows) > 1:
+            return [x for r in rows for x in score_batch(scorer, [r])]
+        if isinstance(e, MemoryError):
+            return [_result(rows[0], None, str(e))]
         return [_result(r, None, f"{type(e).__name__}: {e}") for r in rows]
 
 

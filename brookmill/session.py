@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
-_MADE: list[SharedTable] = []
+_MADE: list[SharedFolder] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,30 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
-class SharedTable:
+class SharedFolder:
+    """A path of its own in the shared folder, removed by release."""
+
+    def __init__(self, spark: SparkSession, name: str = "t"):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/brookmill-{name}-{uuid.uuid4().hex}"
+        _MADE.append(self)
+
+    def drop(self) -> None:
+        """Removes the files. Only call this when no lazy result still reads them."""
+        if self in _MADE:
+            _MADE.remove(self)
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class SharedTable(SharedFolder):
     """A Parquet table in the shared folder, standing in for a lineage that should be cut.
 
     Unlike ``localCheckpoint`` it survives the loss of any executor, and it is columnar and compressed.
     """
 
     def __init__(self, df: DataFrame, name: str = "t"):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/brookmill-{name}-{uuid.uuid4().hex}"
+        super().__init__(df.sparkSession, name)
         self.schema = df.schema
         df.write.parquet(self.path)
-        _MADE.append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        """Removes the files. Only call this when no lazy result still reads them."""
-        if self in _MADE:
-            _MADE.remove(self)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def release() -> None:
     """Removes all shared tables made so far; results that are lazily read from them must be done with."""

@@ -98,8 +98,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], PREDICTION)
-    read = spark.read.schema(PREDICTION + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return read.where("_bad is null").drop("_bad")
+    parsed = F.from_json("value", PREDICTION + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
+    return lines.select(parsed.alias("x")).where("x is not null and x._bad is null").select("x.*").drop("_bad")
 
 
 def _move(spark: SparkSession, a: str, b: str) -> None:
