@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brookmill.operators.conversation import cap_images
 from brookmill.operators.lengths import LengthConfig
+from brookmill.sources.manifest import replaced
 
 
 def todo(video_meta: Column, series_path: Column, shape: Column, force: bool = False) -> Column:
@@ -83,11 +84,21 @@ def with_cached_lengths(rows: DataFrame, key: Column, compute: Column, cached: D
 
 
 def save_lengths(df: DataFrame, path: str, name: str = "length") -> None:
-    df.select("length_key", name).dropDuplicates(["length_key"]).write.mode("overwrite").parquet(path)
-
-
-def load_lengths(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Lengths by their key, and how many rows they were computed for, in place only once both are written."""
+    n = df.count()
+    kept = df.select("length_key", name).dropDuplicates(["length_key"]).withColumn("n_rows", F.lit(n).cast("bigint"))
+    replaced(df.sparkSession, path, kept.write.parquet)
+
+
+def load_lengths(spark: SparkSession, path: str, n_rows: int | None = None) -> DataFrame | None:
+    """What save_lengths kept; None where nothing is kept or, with ``n_rows``, it was kept for another number of rows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    kept = spark.read.parquet(path)
+    if n_rows is not None and kept.where(F.col("n_rows") != n_rows).limit(1).count():
+        return None
+    return kept.drop("n_rows")
 
 
 def assert_same_rows(a: DataFrame, b: DataFrame, key: str) -> None:

@@ -23,6 +23,25 @@ def normalize_rows(df: DataFrame, line: str) -> DataFrame:
         "renamed": has("video_id") & ~has("id"), "task_added": ~has("task") & v.isNotNull()})
 
 
+def normalized_lines(df: DataFrame, line: str = "value") -> DataFrame:
+    """(value): the JSON objects themselves with their video_id made the id and a missing task filled in; all other fields as they are.
+
+    What isn't a JSON object is left as it is.
+    """
+    v = F.try_parse_json(line)
+    keys = F.coalesce(F.json_object_keys(line), F.array().cast("array<string>"))
+    rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: (k != "video_id") & ~((k == "id") & F.array_contains(keys, "video_id")))
+    none = F.map_filter(F.create_map(F.lit(""), F.parse_json(F.lit("null"))), lambda k, _: k != "")
+    ident = F.when(F.array_contains(keys, "video_id"), F.create_map(F.lit("id"), F.try_variant_get(v, "$.video_id", "variant"))).otherwise(none)
+    task = F.when(~F.array_contains(keys, "task"), F.create_map(F.lit("task"), F.parse_json(F.lit('"classification"')))).otherwise(none)
+    return df.select(F.coalesce(F.to_json(F.map_concat(ident, rest, task)), F.col(line)).alias("value"))
+
+
+def having_key(df: DataFrame, key: str, line: str = "value") -> DataFrame:
+    """The rows whose JSON object has ``key``, with null as its value too."""
+    return df.where(F.array_contains(F.json_object_keys(line), key))
+
+
 def change_counts(normalized: DataFrame, by: list[str]) -> DataFrame:
     return normalized.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if("renamed").alias("n_renamed"), F.count_if("task_added").alias("n_task_added"))
 
@@ -88,7 +107,8 @@ def per_channel_rows(rows: DataFrame, channels: str, n_steps: str, folder: str =
     channels and its steps. A forecasting row that doesn't fit (explode_channels) raises.
     """
     is_forecast = F.coalesce(F.col("task") == "prediction", F.lit(False))
-    out = explode_channels(rows.where(is_forecast).withColumn("_parsed", parse_forecast(F.col("answer"))), "_parsed", channels)
+    whole = rows.where(is_forecast).drop("channel_index", "channel_name")
+    out = explode_channels(whole.withColumn("_parsed", parse_forecast(F.col("answer"))), "_parsed", channels)
     stem = F.concat(F.lit(folder), F.col("id"))
     out = out.withColumns({
         "timeseries_path": F.concat(stem, F.lit(".csv")), "forecast_target_path": F.concat(stem, F.lit(".target.csv")),
@@ -99,7 +119,7 @@ def per_channel_rows(rows: DataFrame, channels: str, n_steps: str, folder: str =
 
 def channel_targets(rows: DataFrame, channels: str) -> DataFrame:
     """(id, step, channel_index, channel, value): the one-column target series of each channel of the forecasting rows."""
-    some = rows.where("task = 'prediction'").withColumn("_parsed", parse_forecast(F.col("answer")))
+    some = rows.where("task = 'prediction'").drop("channel_index", "channel_name").withColumn("_parsed", parse_forecast(F.col("answer")))
     out = explode_channels(some, "_parsed", channels).select("id", "channel_name", F.explode("target").alias("t"))
     return out.select("id", F.col("t.pos").alias("step"), F.lit(0).alias("channel_index"), F.col("channel_name").alias("channel"), F.col("t.value").alias("value"))
 

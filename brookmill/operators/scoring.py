@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 import random
+import sys
 import time
+import traceback
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -12,7 +14,8 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RESULT = "id string, ground_truth string, raw string, failed boolean, error string"
+RESULT = "id string, ground_truth string, raw string, failed boolean, error string, traceback string"
+_COLUMNS = ["id", "ground_truth", "raw", "failed", "error", "traceback"]
 
 
 class Scorer(Protocol):
@@ -65,7 +68,7 @@ def out_of_memory(error: BaseException) -> bool:
 
 
 def _result(row: dict, raw: str | None, error: str | None) -> tuple:
-    return row.get("id"), row.get("answer"), raw, error is not None, error
+    return row.get("id"), row.get("answer"), raw, error is not None, error, traceback.format_exc() if error is not None and sys.exc_info()[0] else None
 
 
 def score_batch(scorer: Scorer, rows: list[dict]) -> list[tuple]:
@@ -89,7 +92,7 @@ def score_rows(df: DataFrame, make: Callable[[], Scorer], batch_size: int = 8) -
         for pdf in batches:
             rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
             out = [x for k in range(0, len(rows), batch_size) for x in score_batch(scorer, rows[k : k + batch_size])]
-            yield pd.DataFrame(out, columns=["id", "ground_truth", "raw", "failed", "error"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return df.mapInPandas(run, RESULT)
 
@@ -119,6 +122,6 @@ def score_calls(df: DataFrame, call: Callable[[dict], str], threads: int = 8) ->
         with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
                 rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-                yield pd.DataFrame(list(pool.map(one, rows)), columns=["id", "ground_truth", "raw", "failed", "error"])
+                yield pd.DataFrame(list(pool.map(one, rows)), columns=_COLUMNS)
 
     return df.mapInPandas(run, RESULT)

@@ -45,11 +45,11 @@ def with_run(documents: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
     """Metric documents with what is known about their run (by, json) as ``infer``; its counts stand in for missing ones."""
     known = F.json_object_keys("json")
     inner = lambda c: F.regexp_replace(c, r"^\s*\{|\}\s*$", "")
-    value = lambda k: F.try_variant_get(F.try_parse_json("_run"), f"$.{k}", "string")
+    value = lambda k: F.try_variant_get(F.try_parse_json("_about"), f"$.{k}", "string")
     more = F.array_compact(F.array(*(F.when(~F.array_contains(known, k) & value(k).isNotNull(), F.concat(F.lit(f'"{k}":'), value(k))) for k in FROM_RUN)))
-    joined = _joined(documents, runs.withColumnRenamed("json", "_run"), by)
-    text = F.concat(F.lit("{"), F.array_join(F.concat(F.array(inner(F.col("json")), F.concat(F.lit('"infer":'), F.col("_run"))), more), ","), F.lit("}"))
-    return joined.select(*by, F.coalesce(F.when(F.col("_run").isNotNull(), text), F.col("json")).alias("json"))
+    joined = _joined(documents, runs.withColumnRenamed("json", "_about"), by)
+    text = F.concat(F.lit("{"), F.array_join(F.concat(F.array(inner(F.col("json")), F.concat(F.lit('"infer":'), F.col("_about"))), more), ","), F.lit("}"))
+    return joined.select(*by, F.coalesce(F.when(F.col("_about").isNotNull(), text), F.col("json")).alias("json"))
 
 
 def class_text(overall: DataFrame, report: DataFrame, matrix: DataFrame, by: list[str]) -> DataFrame:
@@ -72,7 +72,8 @@ def class_text(overall: DataFrame, report: DataFrame, matrix: DataFrame, by: lis
 def forecast_text_report(scores: DataFrame, channels: DataFrame, by: list[str]) -> DataFrame:
     """(by, report): counts and errors of a forecasting run, then a line per channel. A missing measure is ``nan``."""
     def number(c: str, how: str) -> Column:
-        return F.coalesce(F.format_string(how, F.col(c).cast("double")), F.lpad(F.lit("nan"), int(how[1:].split(".")[0] or 3), " ") if how[1] != "." else F.lit("nan"))
+        width = how[1 : how.index(".")]
+        return F.when(F.col(c).isNull(), "nan".rjust(int(width or 0))).otherwise(F.format_string(how, F.col(c).cast("double")))
 
     head = F.concat_ws("\n", F.concat(F.format_string("n=%d  succeeded=%d  failed=%d  parse_rate=", "total", "succeeded", "n_failed"), number("parse_rate", "%.4f")), F.lit(""),
         *(F.concat(F.lit(f"{n:<4} : "), number(n.lower(), how), F.lit(more)) for n, how, more in (("MAE", "%.6f", ""), ("MSE", "%.6f", ""), ("MAPE", "%.4f", "%"), ("PCC", "%.6f", ""))))
