@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Plans that run within this are cut into methods that the JVM compiles.
+
+    It only ever interprets methods of more than 8000 bytes, while Spark fuses a stage into methods of up to 65535.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class SharedFolder:
     """A path of its own in the shared folder, removed by release."""
 
@@ -60,7 +77,8 @@ class SharedTable(SharedFolder):
     def __init__(self, df: DataFrame, name: str = "t"):
         super().__init__(df.sparkSession, name)
         self.schema = df.schema
-        df.write.parquet(self.path)
+        with compiled(self.spark):
+            df.write.parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
