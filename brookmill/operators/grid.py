@@ -104,7 +104,7 @@ def fit_factors(cells: DataFrame, key: str, rounds: int = 3) -> tuple[DataFrame,
     Rows of the matrix are the sources, columns the steps of one kind of grid, both levelled by source. A round solves
     all source factors from the time factors and then all time factors from the source factors; what either needs are
     sums of RANK**2 + RANK + 1 numbers a row or column, added up within tasks before they are shuffled. Neither cells nor
-    factors go to the driver; the tables of factors are written, as each round reads the last. ``cells`` has mean and
+    factors go to the driver; the time factors are written, as each round reads the last. ``cells`` has mean and
     spread of its source.
     """
     some = cells.where("mean is not null").select(key, "kind", "block", "values", "mean", "spread", "_h")
@@ -144,9 +144,11 @@ def fit_factors(cells: DataFrame, key: str, rounds: int = 3) -> tuple[DataFrame,
     kind_of_key = cells.schema[key].dataType.simpleString()
     v = SharedTable(some.select("kind", "block").distinct().mapInPandas(start, "kind bigint, block bigint, v array<double>, n array<double>"), "times").read()
     u = None
-    for _ in range(rounds):
+    for k in range(rounds):
         sums = some.join(v.drop("n"), ["kind", "block"]).mapInPandas(row_sums, f"{schema}, key {kind_of_key}").groupBy("key").agg(*total)
-        u = SharedTable(sums.mapInPandas(solve(["key"], "u"), f"key {kind_of_key}, n double, u array<double>").select(F.col("key").alias(key), "u", F.col("n").alias("n_row")), "sources").read()
+        u = sums.mapInPandas(solve(["key"], "u"), f"key {kind_of_key}, n double, u array<double>").select(F.col("key").alias(key), "u", F.col("n").alias("n_row"))
+        if k == rounds - 1:  # before, each is read once only, by the time factors solved from it
+            u = SharedTable(u, "sources").read()
         sums = some.join(u, key).mapInPandas(column_sums, f"{schema}, kind bigint, block bigint, j int").groupBy("kind", "block", "j").agg(*total)
         each = sums.mapInPandas(solve(["kind", "block", "j"], "v"), "kind bigint, block bigint, j int, n double, v array<double>")
         sorted_ = F.array_sort(F.collect_list(F.struct("j", "v", "n")))
